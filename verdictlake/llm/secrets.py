@@ -194,8 +194,7 @@ def scan(docs: DataFrame, rules: list[SecretRule] | None = None, id_col: str = "
 def redact(docs: DataFrame, mask: str = "[secret]", rules: list[SecretRule] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping spans are masked as one."""
     named = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*named).alias("__rest"), F.col(text_col).alias("__text"), F.xxhash64(*named).alias("__id"))
-    # scan() keeps rows apart by id and text alone, so the rest travels as the id
+    rows = docs.select(F.struct(*named).alias("__rest"), F.col(text_col).alias("__text"))  # the rest of a row travels as its id
     found = scan(rows, rules, "__rest", "__text").withColumnRenamed("doc_id", "__rest")
 
     def move(acc: Column, h: Column) -> Column:
