@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import bpe, fingerprint, minhash, packing, secrets, toxicity, url_filter
+from verdictlake.llm import bpe, embed_dedup, fingerprint, minhash, packing, secrets, toxicity, url_filter
 from verdictlake.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
