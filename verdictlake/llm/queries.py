@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdictlake.llm import bpe, embed_dedup, fingerprint, html_extract, minhash, packing, secrets, toxicity, url_filter
+from verdictlake.llm import bpe, embed_dedup, fingerprint, html_extract, licenses, minhash, packing, secrets, toxicity, url_filter
 from verdictlake.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_against_next(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -77,4 +81,4 @@ FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL}
+    return {"op4_url_filters": OP4_SQL, "op7_license_scans": licenses.duckdb_sql()}
