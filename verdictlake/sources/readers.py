@@ -57,7 +57,7 @@ def load_statements(spark: SparkSession, folder: str, problem_ids: Iterable[str]
     paths = existing(spark, [f"{folder.rstrip('/')}/{p}.html" for p in problem_ids], least=-1)
     if not paths:
         return spark.createDataFrame([], "problem_id string, html string")
-    rows = spark.read.option("wholetext", True).text(paths)
+    rows = spark.read.text(paths, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.html$", "").alias("problem_id"), F.col("value").alias("html"))
 
 
