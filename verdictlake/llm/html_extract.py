@@ -103,6 +103,8 @@ def parse(source: str) -> Page:
                 page.ends[at] += run[-1] in ".!?…:;\"”»。"
 
     def open_(tag: str, marks: tuple[str, ...]) -> None:
+        if not page.parent and tag not in ("html", "head", "body"):
+            open_("body", ())  # a fragment stands in the body of a page
         up = next((k for _, k in reversed(stack) if k >= 0), -1)
         page.parent.append(up)
         page.depth.append(page.depth[up] + 1 if up >= 0 else 0)
