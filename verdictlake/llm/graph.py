@@ -59,6 +59,8 @@ class Forest:
         return True
 
 
+#: A group whose leaders are more than this share of it is taken for one of strangers.
+SHRINK = 0.7
 #: Given the payloads of a group: the edges that link it (pairs of positions) and its leaders.
 Linker = Callable[[list], tuple[list[tuple[int, int]], list[int]]]
 
@@ -68,29 +70,54 @@ def linked_groups(rows: DataFrame, payload: str, weight: str | None, most: int,
 
     Groups are streamed from partitions sorted by key. A group heavier than ``most`` is salted into
     blocks; each block is linked by itself and hands its leaders to the next round, where they meet
-    again under the group's key, until every group fits in one block. Nothing is dropped: a row that is
-    linked to none is its own leader.
+    again under the group's key, until every group fits in one block. A row that is linked to none is
+    its own leader, so a group of strangers does not shrink; such a group is linked by pairs of blocks
+    instead, which compares all of its rows. Nothing is dropped either way.
     """
-    kind = dict(rows.dtypes)[payload]
-    size = F.sum(weight) if weight else F.count("*")
-    found: DataFrame | None = None
+    extra = [weight] if weight else []
+    found: list[DataFrame] = []
+    before: DataFrame | None = None
     turn = 0
     while True:
-        heavy = materialise(rows.groupBy("key").agg(size.cast("long").alias("__size")).where(F.col("__size") > most), f"{label}-heavy-{turn}")
+        size = F.sum(weight) if weight else F.count("*")
+        heavy = materialise(rows.groupBy("key").agg(size.cast("long").alias("size")).where(F.col("size") > most), f"{label}-heavy-{turn}")
         hot = not heavy.isEmpty()
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("__size") / most)).cast("long")
-        salted = rows.join(maybe_broadcast(heavy, 32), "key", "left") if hot else rows.withColumn("__size", F.lit(None).cast("long"))
-        salted = salted.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", F.lit(turn)), blocks), F.lit(0))).withColumn("split", F.coalesce(blocks > 1, F.lit(False)))
-        extra = [weight] if weight else []
-        dealt = salted.select("key", "block", "split", "id", payload, *extra).repartition("key", "block").sortWithinPartitions("key", "block", "id")
-        schema = f"key long, src long, dst long, leader boolean, {payload} {kind}" + (f", {weight} long" if weight else "")
-        out = materialise(dealt.mapInArrow(_stream(payload, weight, linker), schema), f"{label}-round-{turn}")
-        edges = out.where("not leader").select("src", "dst")
-        found = edges if found is None else found.unionByName(edges)
+        if hot and before is not None:
+            stuck = materialise(heavy.join(before.select("key", F.col("size").alias("was")), "key").where(F.col("size") > SHRINK * F.col("was")).select("key", "size"), f"{label}-stuck-{turn}")
+            if not stuck.isEmpty():
+                found.append(_by_block_pairs(rows.join(maybe_broadcast(stuck, 32), "key"), payload, extra, most, linker, f"{label}-pairs-{turn}"))
+                rows = rows.join(maybe_broadcast(stuck, 32), "key", "left_anti")
+                heavy = heavy.join(stuck, "key", "left_anti")
+                hot = not heavy.isEmpty()
+        salted = rows.join(maybe_broadcast(heavy, 32), "key", "left") if hot else rows.withColumn("size", F.lit(None).cast("long"))
+        blocks = F.coalesce(F.ceil(F.col("size") / most).cast("long"), F.lit(1))
+        salted = salted.withColumn("block", F.pmod(F.xxhash64("id", F.lit(turn)), blocks)).withColumn("split", blocks > 1)
+        out = _linked(salted, payload, extra, linker, f"{label}-round-{turn}")
+        found.append(out.where("not leader").select("src", "dst"))
         if not hot:
-            return found
+            break
         rows = out.where("leader").select("key", F.col("src").alias("id"), payload, *extra)
+        before = heavy
         turn += 1
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def _by_block_pairs(rows: DataFrame, payload: str, extra: list[str], most: int, linker: Linker, label: str) -> DataFrame:
+    """Every two blocks of a group meet once, so every two rows do."""
+    blocks = F.ceil(F.col("size") / most).cast("long")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.withColumn("block", F.least("own", "other") * blocks + F.greatest("own", "other")).withColumn("split", F.lit(False))
+    return _linked(dealt, payload, extra, linker, label).select("src", "dst")
+
+
+def _linked(rows: DataFrame, payload: str, extra: list[str], linker: Linker, label: str) -> DataFrame:
+    kind = dict(rows.dtypes)[payload]
+    schema = f"key long, src long, dst long, leader boolean, {payload} {kind}" + "".join(f", {c} long" for c in extra)
+    dealt = rows.select("key", "block", "split", "id", payload, *extra).repartition("key", "block").sortWithinPartitions("key", "block", "id")
+    return materialise(dealt.mapInArrow(_stream(payload, extra[0] if extra else None, linker), schema), label)
 
 
 def _stream(payload: str, weight: str | None, linker: Linker):

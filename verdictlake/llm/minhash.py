@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from verdictlake.llm.bpe import slices
 from verdictlake.llm.common import materialise, maybe_broadcast, ship
-from verdictlake.llm.graph import Forest, components, linked_groups
+from verdictlake.llm.graph import components, linked_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -180,49 +180,62 @@ def _increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
+class _Clusters:
+    """Clusters of a group as an array of labels, and the edges that made them."""
+
+    def __init__(self, n: int):
+        self.own = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def strangers(self, i: int, near: np.ndarray, least: float, below: float) -> list[int]:
+        """Earlier rows of other clusters whose likeness to row ``i`` lies in the range, likeliest first."""
+        found = np.flatnonzero((near >= least) & (near < below) & (self.own[:i] != self.own[i]))
+        return found[np.argsort(-near[found], kind="stable")].tolist()
+
+    def link(self, i: int, j: int) -> None:
+        a, b = sorted((self.own[i], self.own[j]))
+        self.own[self.own == b] = a
+        self.edges.append((i, j))
+
+    def leaders(self) -> list[int]:
+        """The best linked rows of each cluster."""
+        n = len(self.own)
+        degree = np.bincount([k for e in self.edges for k in e], minlength=n) if self.edges else np.zeros(n, int)
+        by: dict[int, list[int]] = {}
+        for i in np.argsort(-degree, kind="stable").tolist():
+            held = by.setdefault(int(self.own[i]), [])
+            if len(held) < LEADERS:
+                held.append(i)
+        return [i for held in by.values() for i in held]
+
+
 def link_by_sketch(group: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
     """Edges that span what the travelling sketches hold similar; leaders: a few of each cluster."""
     s = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), BINS)
-    forest, edges = Forest(len(s)), []
+    c = _Clusters(len(s))
     for i in range(1, len(s)):
-        for j in np.flatnonzero(likeness(s[i], s[:i]) >= CANDIDATE).tolist():
-            if forest.join(i, j):
-                edges.append((i, j))
-    return edges, _leaders(forest, len(s), edges)
+        for j in c.strangers(i, likeness(s[i], s[:i]), CANDIDATE, 2):
+            if c.own[i] != c.own[j]:
+                c.link(i, j)
+    return c.edges, c.leaders()
 
 
 def link_by_text(group: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges that span the verified links of a group; the likeliest pairs are verified first."""
+    """Edges that span the verified links of a group.
+
+    The likelier pairs come first, in a round of their own: what they link needs no more verifying.
+    """
     words, ends = word_hashes(pa.array(group, pa.string()))
     h, ends = kmers(words, ends)
     docs = np.split(h, ends[:-1])
     s = sketches(h, ends, FINE_BINS)
-    forest, edges, weak = Forest(len(docs)), [], []
-    for i in range(1, len(docs)):
-        near = likeness(s[i], s[:i])
-        for j in sorted(np.flatnonzero(near >= FINE_CANDIDATE).tolist(), key=lambda j: -near[j]):
-            if forest.root(i) == forest.root(j):
-                continue
-            if near[j] < SIMILARITY:
-                weak.append((-near[j], i, j))
-            elif aligned(docs[i], docs[j]) >= SIMILARITY:
-                forest.join(i, j)
-                edges.append((i, j))
-    for _, i, j in sorted(weak):
-        if forest.root(i) != forest.root(j) and aligned(docs[i], docs[j]) >= SIMILARITY:
-            forest.join(i, j)
-            edges.append((i, j))
-    return edges, _leaders(forest, len(docs), edges)
-
-
-def _leaders(forest: Forest, n: int, edges: list[tuple[int, int]]) -> list[int]:
-    degree = np.bincount([k for e in edges for k in e], minlength=n) if edges else np.zeros(n, int)
-    by: dict[int, list[int]] = {}
-    for i in sorted(range(n), key=lambda i: -degree[i]):
-        own = by.setdefault(forest.root(i), [])
-        if len(own) < LEADERS:
-            own.append(i)
-    return [i for own in by.values() for i in own]
+    c = _Clusters(len(docs))
+    for least, below in ((SIMILARITY, 2), (FINE_CANDIDATE, SIMILARITY)):
+        for i in range(1, len(docs)):
+            for j in c.strangers(i, likeness(s[i], s[:i]), least, below):
+                if c.own[i] != c.own[j] and aligned(docs[i], docs[j]) >= SIMILARITY:
+                    c.link(i, j)
+    return c.edges, c.leaders()
 
 
 def profiles(docs: DataFrame) -> DataFrame:
