@@ -45,19 +45,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
+    """Give the executors this package, wherever they run, by way of the shared folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
         return
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         for p in sorted(PACKAGE_ROOT.rglob("*.py")):
             z.write(p, f"{PACKAGE_ROOT.name}/{p.relative_to(PACKAGE_ROOT)}")
-    folder = tempfile.mkdtemp(prefix="verdictlake-ship-")
-    path = os.path.join(folder, "verdictlake_ship.zip")
-    Path(path).write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
+    place = f"{checkpoint_root(spark)}/verdictlake/code-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(held.getvalue())
+    out.close()
+    sc.addPyFile(place)
+    _SHIPPED.add(sc.applicationId)
 
 
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
