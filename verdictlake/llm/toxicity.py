@@ -38,7 +38,7 @@ WINDOW, STRIDE = 64, 32
 LEVEL = 3
 GROUND_BYTES, MARK_BYTES = 32768, 1024
 #: A word marks toxic text if its head stands in at least so many toxic texts, and in so many times the share.
-HEAD, LEAST_TEXTS, LIFT = 6, 5, 8
+HEAD, LEAST_TEXTS, LIFT = 6, 3, 30
 #: Gains, in bytes, at which windows are counted.
 STEPS = (2, 3, 4, 5, 6, 7, 8, 10)
 #: One row in so many is held out of training, by the checksum of its id.
@@ -88,30 +88,36 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from two thirds of the texts, the threshold from the others."""
-    if len(toxic) < 6 or len(ordinary) < 6:
+def fit(toxic: list[str], ordinary: list[str], parts: int = 3) -> Model:
+    """Dictionaries from all texts; the threshold from each part seen through dictionaries of the others."""
+    if min(len(toxic), len(ordinary)) < 2 * parts:
         return Model()
-    part = lambda texts, calibrate: [t for i, t in enumerate(texts) if (i % 3 == 2) is calibrate]
-    bad, good = part(toxic, False), part(ordinary, False)
-    pieces = [w for t in good for w in _cut(t.lower().encode(), 256)]
+    pieces = [w for t in ordinary for w in _cut(t.lower().encode(), 256)]
     ground = _train(pieces[:: max(1, len(pieces) // 20_000)], GROUND_BYTES, 64, 8)
-    heads = lambda texts: Counter(h for t in texts for h in {w[:HEAD] for w in t.lower().split()})
-    seen, other = heads(bad), heads(good)
-    marking = {h for h, n in seen.items() if n >= LEAST_TEXTS and n / len(bad) >= LIFT * (other[h] + 0.5) / len(good)}
-    told = [" " + " ".join(w for w in t.lower().split() if w[:HEAD] in marking) + " " for t in bad]
-    marks = _train([w for t in told for w in _cut(t.encode(), 128)], MARK_BYTES, 16, 6)
-    if not marks:
-        return Model()
-    scorer = Scorer(Model(ground, marks))
-    held = [*part(toxic, True), *part(ordinary, True)]
-    y = np.r_[np.ones(len(part(toxic, True))), np.zeros(len(part(ordinary, True)))]
-    x = np.array([scorer.features(t) for t in held], float)
+    rows, y = [], []
+    for k in range(parts):
+        marks = _marks(*([t for i, t in enumerate(texts) if i % parts != k] for texts in (toxic, ordinary)))
+        if not marks:
+            return Model()
+        scorer = Scorer(Model(ground, marks))
+        for label, texts in ((1, toxic), (0, ordinary)):
+            rows += [scorer.features(t) for t in texts[k::parts]]
+            y += [label] * len(texts[k::parts])
+    x, y = np.array(rows, float), np.array(y, float)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - centre) / scale]
     w = _logistic(z, y)
     w[0] -= _threshold(z @ w, y)
-    return Model(ground, marks, tuple(centre), tuple(scale), tuple(w))
+    return Model(ground, _marks(toxic, ordinary), tuple(centre), tuple(scale), tuple(w))
+
+
+def _marks(toxic: list[str], ordinary: list[str]) -> bytes:
+    """The dictionary of what marks toxic text."""
+    heads = lambda texts: Counter(h for t in texts for h in {w[:HEAD] for w in t.lower().split()})
+    seen, other = heads(toxic), heads(ordinary)
+    marking = {h for h, n in seen.items() if n >= LEAST_TEXTS and n / len(toxic) >= LIFT * (other[h] + 0.5) / len(ordinary)}
+    told = [" " + " ".join(w for w in t.lower().split() if w[:HEAD] in marking) + " " for t in toxic]
+    return _train([w for t in told for w in _cut(t.encode(), 128)], MARK_BYTES, 16, 6)
 
 
 def _cut(data: bytes, size: int) -> list[bytes]:
