@@ -79,3 +79,11 @@ def test_scores_and_coverage(spark):
 def test_combination_order_and_other_only(spark):
     assert one(spark, exprs.error_combination(F.col("s")), s="TLE→WA→Other→WA→AC") == "WA, TLE"
     assert one(spark, exprs.error_combination(F.col("s")), s="Other→AC") is None
+
+
+def test_sql_functions(spark):
+    from verdictlake.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT status_code('Accepted'), status_code(NULL), language_of('rs'), language_of('RS'), group_of('C'), group_of(CAST(NULL AS STRING))").first()
+    assert tuple(row) == ("AC", "Other", "Rust", "Other", "G3", None)
