@@ -76,6 +76,19 @@ def test_classes_against_full_alignment(spark, monkeypatch, block):
     assert all(rows[i]["kept"] == (rows[i]["class_id"] == i) for i in rows)
 
 
+def test_drifting_copies_in_a_split_group_are_one_class(spark, monkeypatch):
+    rng = random.Random(3)
+    words, texts = [f"a{i}" for i in range(150)], []
+    for k in range(240):  # each copy changes one word: neighbours are at 0.93, the fourth after is below 0.8
+        texts.append(" ".join(words))
+        words[(k * 37) % 150] = f"b{k}"
+    order = list(range(240))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(minhash, "BLOCK_KMERS", 120 * 146)  # two blocks
+    assert {r["class_id"] for r in minhash.report(docs).collect()} == {0}
+
+
 def test_alignment_equals_brute_force_near_the_threshold():
     rng = random.Random(8)
     for _ in range(60):

@@ -61,8 +61,9 @@ class Forest:
 
 #: A group whose leaders are more than this share of it is taken for one of strangers.
 SHRINK = 0.7
-#: Given the payloads of a group: the edges that link it (pairs of positions) and its leaders.
-Linker = Callable[[list], tuple[list[tuple[int, int]], list[int]]]
+#: Given the payloads of a group and, where rows are known to be linked already, their labels in ascending
+#: order: the edges that link it further (pairs of positions) and its leaders.
+Linker = Callable[[list, "np.ndarray | None"], tuple[list[tuple[int, int]], list[int]]]
 
 
 def linked_groups(rows: DataFrame, payload: str, weight: str | None, most: int, linker: Linker, label: str) -> DataFrame:
@@ -70,22 +71,24 @@ def linked_groups(rows: DataFrame, payload: str, weight: str | None, most: int,
 
     Groups are streamed from partitions sorted by key. A group heavier than ``most`` is salted into
     blocks; each block is linked by itself and hands its leaders to the next round, where they meet
-    again under the group's key, until every group fits in one block. A row that is linked to none is
-    its own leader, so a group of strangers does not shrink; such a group is linked by pairs of blocks
-    instead, which compares all of its rows. Nothing is dropped either way.
+    again under the group's key, until every group fits in one block or stops shrinking. The rounds only
+    join early what is easily joined: afterwards every two rows of a split group that are not yet in one
+    component meet (see ``_rest``), leaders or not, so each link of a group is found or implied.
     """
     extra = [weight] if weight else []
     found: list[DataFrame] = []
+    whole, split = rows, None
     before: DataFrame | None = None
     turn = 0
     while True:
         size = F.sum(weight) if weight else F.count("*")
         heavy = materialise(rows.groupBy("key").agg(size.cast("long").alias("size")).where(F.col("size") > most), f"{label}-heavy-{turn}")
         hot = not heavy.isEmpty()
+        if hot and split is None:
+            split = heavy.select("key")
         if hot and before is not None:
-            stuck = materialise(heavy.join(before.select("key", F.col("size").alias("was")), "key").where(F.col("size") > SHRINK * F.col("was")).select("key", "size"), f"{label}-stuck-{turn}")
+            stuck = materialise(heavy.join(before.select("key", F.col("size").alias("was")), "key").where(F.col("size") > SHRINK * F.col("was")).select("key"), f"{label}-stuck-{turn}")
             if not stuck.isEmpty():
-                found.append(_by_block_pairs(rows.join(maybe_broadcast(stuck, 32), "key"), payload, extra, most, linker, f"{label}-pairs-{turn}"))
                 rows = rows.join(maybe_broadcast(stuck, 32), "key", "left_anti")
                 heavy = heavy.join(stuck, "key", "left_anti")
                 hot = not heavy.isEmpty()
@@ -102,25 +105,48 @@ def linked_groups(rows: DataFrame, payload: str, weight: str | None, most: int,
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
-    return edges
+    if split is None:
+        return edges
+    return edges.unionByName(_rest(whole.join(maybe_broadcast(split, 16), "key"), edges, payload, extra, most, linker, label))
 
 
-def _by_block_pairs(rows: DataFrame, payload: str, extra: list[str], most: int, linker: Linker, label: str) -> DataFrame:
-    """Every two blocks of a group meet once, so every two rows do."""
-    blocks = F.ceil(F.col("size") / most).cast("long")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.withColumn("block", F.least("own", "other") * blocks + F.greatest("own", "other")).withColumn("split", F.lit(False))
-    return _linked(dealt, payload, extra, linker, label).select("src", "dst")
+def _rest(rows: DataFrame, edges: DataFrame, payload: str, extra: list[str], most: int, linker: Linker, label: str) -> DataFrame:
+    """Edges between rows of one group that ``edges`` leave in different components.
 
-
-def _linked(rows: DataFrame, payload: str, extra: list[str], linker: Linker, label: str) -> DataFrame:
+    In each group the heaviest component is set against all others, and these against each other, by pairs
+    of blocks: the cost is that of the comparisons still open, and a group in one component has none.
+    """
+    known = materialise(components(edges), f"{label}-known").select(F.col("node").alias("id"), "component")
+    weigh = F.col(extra[0]) if extra else F.lit(1)
+    light = rows.select("key", "id", weigh.cast("long").alias("w")).join(maybe_broadcast(known, 32), "id", "left")
+    sizes = materialise(light.groupBy("key", F.coalesce("component", "id").alias("own")).agg(F.sum("w").alias("size")), f"{label}-components")
+    groups = sizes.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.max(F.struct("size", "own")).alias("main")).where("n > 1")
+    half = max(1, most // 2)  # two blocks meet in a task
+    mains = F.greatest(F.ceil(F.col("main.size") / half).cast("long"), F.lit(1))
+    others = F.greatest(F.ceil((F.col("total") - F.col("main.size")) / half).cast("long"), F.lit(1))
+    groups = materialise(groups.select("key", F.col("main.own").alias("main"), mains.alias("mains"), others.alias("others")), f"{label}-open")
+    if groups.isEmpty():
+        return edges.limit(0)
+    dealt = rows.join(maybe_broadcast(groups, 48), "key").join(maybe_broadcast(known, 32), "id", "left").withColumn("own", F.coalesce("component", "id"))
+    far = F.col("own") != F.col("main")
+    mine = F.pmod(F.xxhash64("id"), F.when(far, F.col("others")).otherwise(F.col("mains")))
+    # blocks of the others are numbered first; a pair of blocks (a, b) meets under a * all + b, a <= b
+    all_ = F.col("others") + F.col("mains")
+    dealt = dealt.withColumn("mine", F.when(far, mine).otherwise(mine + F.col("others")))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(far, all_).otherwise(F.col("others")) - 1)
+    dealt = dealt.withColumn("with", F.explode(partners)).withColumn("block", F.least("mine", "with") * all_ + F.greatest("mine", "with")).withColumn("split", F.lit(False))
+    return _linked(dealt, payload, extra, linker, f"{label}-rest", "own").select("src", "dst")
+
+
+def _linked(rows: DataFrame, payload: str, extra: list[str], linker: Linker, label: str, own: str | None = None) -> DataFrame:
     kind = dict(rows.dtypes)[payload]
     schema = f"key long, src long, dst long, leader boolean, {payload} {kind}" + "".join(f", {c} long" for c in extra)
-    dealt = rows.select("key", "block", "split", "id", payload, *extra).repartition("key", "block").sortWithinPartitions("key", "block", "id")
-    return materialise(dealt.mapInArrow(_stream(payload, extra[0] if extra else None, linker), schema), label)
+    labels = [own] if own else []
+    dealt = rows.select("key", "block", "split", "id", payload, *extra, *labels).repartition("key", "block").sortWithinPartitions("key", "block", *labels, "id")
+    return materialise(dealt.mapInArrow(_stream(payload, extra[0] if extra else None, linker, own), schema), label)
 
 
-def _stream(payload: str, weight: str | None, linker: Linker):
+def _stream(payload: str, weight: str | None, linker: Linker, own: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
@@ -143,7 +169,10 @@ def _stream(payload: str, weight: str | None, linker: Linker):
         src, dst, key, lead, at = [], [], [], [], []
         for k in np.flatnonzero((sizes > 1) | split[starts[:-1]]):
             a, n = int(starts[k]), int(sizes[k])
-            pairs, leaders = linker(t.column(payload).slice(a, n).to_pylist())
+            labels = t.column(own).slice(a, n).to_numpy() if own else None
+            if labels is not None and labels[0] == labels[-1]:
+                continue
+            pairs, leaders = linker(t.column(payload).slice(a, n).to_pylist(), labels)
             for i, j in pairs:
                 src.append(ids[a + i])
                 dst.append(ids[a + j])

@@ -10,7 +10,8 @@ must reach ``SIMILARITY``.
 
 Steps: equal word sequences collapse to one representative first, so groups of exact copies cost one
 row; sketches and signatures travel, texts only for the documents in some candidate group. Groups too
-heavy for a task are salted and meet again by their leaders (see ``graph.linked_groups``).
+heavy for a task are salted, meet again by their leaders, and then all rows that this leaves in different
+components are compared (see ``graph.linked_groups``).
 
 Defined cases: a null text is the empty text; texts without any word are copies only of texts equal to
 them; texts of fewer than five words have one k-mer, all of them; repeated rows and ids fall in one class;
@@ -45,7 +46,7 @@ BINS, CANDIDATE = 64, 0.55
 FINE_BINS, FINE_CANDIDATE = 256, 0.7
 #: Documents in a block of a bucket; k-mers in a block of a candidate group.
 BLOCK_ROWS, BLOCK_KMERS = 2048, 4_000_000
-#: Leaders that a block of a split group hands on for each of its clusters.
+#: Leaders that a block of a split group hands on for each of its clusters in the rounds that join early.
 LEADERS = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(2**64 - 1)
@@ -181,15 +182,23 @@ def _increasing(values: np.ndarray) -> int:
 
 
 class _Clusters:
-    """Clusters of a group as an array of labels, and the edges that made them."""
+    """Clusters of a group as an array of labels, and the edges that made them.
 
-    def __init__(self, n: int):
-        self.own = np.arange(n)
+    ``labels`` in ascending order name what is linked beforehand: such rows do not meet again.
+    """
+
+    def __init__(self, n: int, labels: np.ndarray | None = None):
+        self.first = np.arange(n) if labels is None else np.searchsorted(labels, labels)
+        self.own = self.first.copy()
         self.edges: list[tuple[int, int]] = []
 
+    def meets(self, i: int) -> slice:
+        """The earlier rows that row ``i`` is to be compared with."""
+        return slice(0, int(self.first[i]))
+
     def strangers(self, i: int, near: np.ndarray, least: float, below: float) -> list[int]:
         """Earlier rows of other clusters whose likeness to row ``i`` lies in the range, likeliest first."""
-        found = np.flatnonzero((near >= least) & (near < below) & (self.own[:i] != self.own[i]))
+        found = np.flatnonzero((near >= least) & (near < below) & (self.own[: len(near)] != self.own[i]))
         return found[np.argsort(-near[found], kind="stable")].tolist()
 
     def link(self, i: int, j: int) -> None:
@@ -209,18 +218,18 @@ class _Clusters:
         return [i for held in by.values() for i in held]
 
 
-def link_by_sketch(group: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
+def link_by_sketch(group: list[bytes], labels: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int]]:
     """Edges that span what the travelling sketches hold similar; leaders: a few of each cluster."""
     s = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), BINS)
-    c = _Clusters(len(s))
+    c = _Clusters(len(s), labels)
     for i in range(1, len(s)):
-        for j in c.strangers(i, likeness(s[i], s[:i]), CANDIDATE, 2):
+        for j in c.strangers(i, likeness(s[i], s[c.meets(i)]), CANDIDATE, 2):
             if c.own[i] != c.own[j]:
                 c.link(i, j)
     return c.edges, c.leaders()
 
 
-def link_by_text(group: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
+def link_by_text(group: list[str], labels: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int]]:
     """Edges that span the verified links of a group.
 
     The likelier pairs come first, in a round of their own: what they link needs no more verifying.
@@ -229,10 +238,10 @@ def link_by_text(group: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
     h, ends = kmers(words, ends)
     docs = np.split(h, ends[:-1])
     s = sketches(h, ends, FINE_BINS)
-    c = _Clusters(len(docs))
+    c = _Clusters(len(docs), labels)
     for least, below in ((SIMILARITY, 2), (FINE_CANDIDATE, SIMILARITY)):
         for i in range(1, len(docs)):
-            for j in c.strangers(i, likeness(s[i], s[:i]), least, below):
+            for j in c.strangers(i, likeness(s[i], s[c.meets(i)]), least, below):
                 if c.own[i] != c.own[j] and aligned(docs[i], docs[j]) >= SIMILARITY:
                     c.link(i, j)
     return c.edges, c.leaders()
