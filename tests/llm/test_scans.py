@@ -146,6 +146,34 @@ def test_notices_are_found_wherever_they_stand(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_notices_inside_longer_units_are_found(spark):
+    notice = dict(licenses.TEMPLATES)
+    gpl = notice["GPL-notice"].split()
+    header = ["/*", " * Tool, a thing of use.", " *", *(" * " + " ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9)), " *", " * This program is distributed in the hope that it will be useful, but without any warranty;", " * see the license for more details of what that means and where a copy may be had.", " */", "int main();"]
+    prose = " ".join(f"word{i}" for i in range(3_000)) + " "
+    mit = "The vocabulary below was collected by hand. Released under the MIT License. Please report mistakes."
+    texts = {
+        1: "\n".join(header),
+        2: mit,
+        3: "Released under the MIT License.\n" + mit + "\n\n" + mit,
+        4: prose + notice["ISC-grant"] + " " + prose + " Licensed under CC BY-SA 4.0. " + prose,
+        5: "We say that this work is licensed under the GNU Lesser General\nPublic License, version 3, as of today and for good.",
+        6: "the license of the software under the general terms of this work " * 40,
+        7: "a\n\n" + notice["MIT-grant"].replace(", ", ",\n") + "\n\nb",
+        8: notice["MIT-grant"] + " Licensed under CC BY 4.0.",
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [(got[k]["n_matches"], got[k]["licenses"]) for k in texts] == [(1, "GPL-notice"), (1, "MIT"), (3, "MIT"), (2, "CC-BY-SA-4.0,ISC-grant"), (1, "LGPL-3.0"), (0, ""), (1, "MIT-grant"), (2, "CC-BY-4.0,MIT-grant")]
+    assert all(got[k]["best_dice"] == 1.0 for k in (1, 2, 3, 4, 5))
+
+
+def test_no_window_does_without_the_needed_words():
+    for t in licenses.compiled():
+        for words in t.needed(0.8):
+            without = [g for g in t.bigrams if set(words).isdisjoint(g.split())]
+            assert len(without) < t.bounds(0.8)[0]
+
+
 def test_bounds_lose_nothing():
     for n in range(1, 60):
         lo, hi = licenses.Template("t", tuple(map(str, range(n)))).bounds(0.8)

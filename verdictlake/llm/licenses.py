@@ -3,8 +3,14 @@
 The units of a text are its lines and, where blank lines part it, its paragraphs of several lines. A unit
 is lower-cased, everything but letters and digits becomes a space, and its distinct word bigrams are held
 against each template's: 2 |A and B| / (|A| + |B|). As the coefficient cannot reach the threshold unless
-the sizes are near, a template is tried only on units of a size within its bounds. All of it is array
-functions within a row: no shuffle, no Python.
+the sizes are near, a template is tried only on units of a size within its bounds.
+
+Besides, the words of the whole text, across lines and paragraphs, are searched for notices that stand
+inside longer units or run over several lines: windows from one bigram of a template to another, of a size
+within its bounds, by the same coefficient. Of windows that overlap the one that shares most bigrams
+counts. A unit that matches holds a window of its own licence, so of each licence only the windows beyond
+its matching units are added. Only texts that hold words that such a window cannot do without are
+searched. All of it is array functions within a row: no shuffle, no Python.
 
 Defined cases: a null text is the empty text; units of fewer than two words match nothing; equal best
 coefficients go to the template named first; repeated rows are each scanned; null ids are kept; an empty
@@ -16,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +69,17 @@ class Template:
     name: str
     bigrams: tuple[str, ...]
 
+    def needed(self, threshold: float) -> list[list[str]]:
+        """Sets of words; any window that reaches the threshold holds one of each: too few bigrams do without."""
+        spare = len(self.bigrams) - self.bounds(threshold)[0]
+        out, now = [], []
+        for w in sorted({w for g in self.bigrams for w in g.split()}, key=lambda w: (-len(w), w)):
+            now.append(w)
+            if sum(not set(now).isdisjoint(g.split()) for g in self.bigrams) > spare:
+                out.append(now)
+                now = []
+        return out
+
     def bounds(self, threshold: float) -> tuple[int, int]:
         """Least and most bigrams of a unit that can reach the threshold: |A and B| is at most the smaller."""
         n = len(self.bigrams)
@@ -83,10 +102,15 @@ def units(text: Column) -> Column:
 
 
 def bigrams(unit: Column) -> Column:
+    return F.array_distinct(all_bigrams(unit))
+
+
+def all_bigrams(unit: Column) -> Column:
+    """The bigrams in order, with repeats."""
     words = F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
     pairs = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.element_at(w, i + 2)))
     # a transform over one element names the words once
-    return F.array_distinct(F.flatten(F.transform(F.array(words), pairs)))
+    return F.flatten(F.transform(F.array(words), pairs))
 
 
 def matches(text: Column, templates: list[Template], threshold: float = THRESHOLD) -> Column:
@@ -112,10 +136,72 @@ def matches(text: Column, templates: list[Template], threshold: float = THRESHOL
     return F.filter(F.transform(fitting, score), lambda m: m["dice"] >= threshold)
 
 
+def may_hold(text: Column, templates: list[Template], threshold: float) -> Column:
+    """Whether a text holds the words that some template's windows need."""
+
+    def held(low: Column) -> Column:
+        some = lambda words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+        return reduce(or_, [reduce(and_, map(some, t.needed(threshold)), F.lit(True)) for t in templates], F.lit(False))
+
+    return F.element_at(F.transform(F.array(F.lower(text)), held), 1)
+
+
+def windows(grams: Column, hits: Column, t: Template, rank: int, threshold: float) -> Column:
+    """Array of (shared, dice, rank, start, end, license): the best window from each bigram of the template on."""
+    lo, hi = t.bounds(threshold)
+    own = F.filter(hits, lambda h: F.array_contains(F.array(*map(F.lit, t.bigrams)), h["gram"]))
+
+    def best(near: Column) -> Column:
+        """``near``: the template's bigrams from a first one on."""
+        start = F.element_at(near, 1)["at"]
+
+        def held(last: Column, k: Column) -> Column:
+            shared = F.size(F.array_distinct(F.transform(F.slice(near, 1, k + 1), lambda h: h["gram"])))
+            size = F.size(F.array_distinct(F.slice(grams, start + 1, last["at"] - start + 1)))
+            dice = F.lit(2.0) * shared / (size + len(t.bigrams))
+            return F.when(k + 1 >= lo, F.struct(dice.alias("dice"), shared.alias("shared"), last["at"].alias("end")))
+
+        b = F.array_max(F.transform(near, held))
+        return F.transform(F.array(b), lambda b: F.struct(b["shared"].alias("shared"), b["dice"].alias("dice"), F.lit(-rank).alias("rank"), (-start).alias("start"), b["end"].alias("end"), F.lit(t.name).alias("license")))
+
+    def search(own: Column) -> Column:
+        reach = F.transform(own, lambda h, i: F.filter(F.slice(own, i + 1, hi), lambda o: o["at"] < h["at"] + hi))
+        full = F.filter(reach, lambda near: F.size(F.array_distinct(F.transform(near, lambda h: h["gram"]))) >= lo)
+        return F.filter(F.flatten(F.transform(full, best)), lambda w: w["dice"] >= threshold)
+
+    return F.flatten(F.transform(F.array(own), search))
+
+
+def apart(found: Column) -> Column:
+    """Windows that do not overlap, those that share most bigrams first."""
+    kind = "array<struct<shared:int,dice:double,rank:int,start:int,end:int,license:string>>"
+
+    def take(kept: Column, w: Column) -> Column:
+        # two windows may share a word: the last of one bigram and the first of the next
+        clash = F.exists(kept, lambda k: (-k["start"] <= w["end"]) & (-w["start"] <= k["end"]))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(w)))
+
+    return F.aggregate(F.sort_array(found, asc=False), F.array().cast(kind), lambda kept, w: take(kept, w).cast(kind))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_matches, licenses, best_dice): the licences whose notices stand in each text."""
-    found = docs.select(F.col(id_col).alias("doc_id"), matches(F.coalesce(F.col(text_col), F.lit("")), compiled(templates), threshold).alias("m"))
-    return found.select(
+    known = compiled(templates)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = texts.select("doc_id", "text", matches(F.col("text"), known, threshold).alias("units"))
+    none = F.array().cast("array<string>")
+    left = found.select("doc_id", "units", F.when(may_hold(F.col("text"), known, threshold), all_bigrams(F.col("text"))).otherwise(none).alias("grams"))
+    every = sorted({g for t in known for g in t.bigrams})
+    numbered = F.transform("grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram")))
+    left = left.withColumn("hits", F.filter(numbered, lambda h: F.array_contains(F.array(*map(F.lit, every)), h["gram"])))
+    inside = apart(F.concat(*[windows(F.col("grams"), F.col("hits"), t, k, threshold) for k, t in enumerate(known)]))
+    kind = "array<struct<license:string,dice:double>>"
+    named = lambda c: F.transform(c, lambda m: F.struct(m["license"].alias("license"), m["dice"].alias("dice"))).cast(kind)
+    left = left.select("doc_id", named("units").alias("units"), F.when(F.size("hits") > 0, named(inside)).otherwise(F.array().cast(kind)).alias("inside"))
+    of = lambda c, name: F.size(F.filter(c, lambda m: m["license"] == name))
+    added = F.filter("inside", lambda w, i: of(F.slice("inside", 1, i + 1), w["license"]) > of("units", w["license"]))
+    both = left.select("doc_id", F.concat("units", added).alias("m"))
+    return both.select(
         "doc_id",
         F.size("m").cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda m: m["license"]))), ",").alias("licenses"),
