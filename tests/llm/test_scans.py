@@ -95,6 +95,28 @@ def test_more_kinds_are_added(spark):
     assert [s.split(":")[0] for s in row["spans"].split(",")] == ["forge", "bearer", "private_key"]
 
 
+def test_private_keys_are_masked_to_their_end(spark):
+    rng = random.Random(6)
+    line = lambda n=64: "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(n))
+    body = "\n".join([*(line() for _ in range(800)), line(30) + "=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n" + body + "\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    keys = {
+        1: f"{begin}\n{body}\n{end}",
+        2: f"{begin}\r\nProc-Type: 4,ENCRYPTED\r\n\r\n" + body.replace("\n", "\r\n") + f"\r\n{end}",
+        3: pgp,
+        4: (f"{begin}\n{body}\n{end}").replace("\n", "\\n"),
+        5: f"{begin}\n{body}",  # cut off
+        6: begin,
+        9: f"{begin}\n{line()}\n{line()}\n{line(9)}",
+    }
+    docs = [(k, f"a {v}\nwords that stay") for k, v in keys.items()] + [(7, f"{keys[1]} and {pgp}."), (8, f"{begin}\n{body}\n-----BEGIN CERTIFICATE-----\n{end}")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == "a [secret]\nwords that stay" for k in keys)
+    assert got[7] == "[secret] and [secret]."
+    assert got[8] == f"[secret]\n-----BEGIN CERTIFICATE-----\n{end}"
+
+
 @pytest.mark.parametrize(
     ("regex", "query"),
     [("abcd", [{"abc", "bcd"}]), ("[0-9a-f]{24,}", [set()]), ("(abc|xyz)q", [{"abc", "bcq"}, {"xyz", "yzq"}]), ("abc.*def", [{"abc", "def"}]), ("(abc)?x", [set()]), ("AB_?C", [{"ab_", "b_c"}, {"abc"}]), ("(?:hello)+", [{"hel", "ell", "llo"}])],

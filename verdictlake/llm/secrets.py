@@ -45,9 +45,18 @@ BASE_RULES = [
     SecretRule("access", r"AKIA[A-Z0-9]{16,}"),
     SecretRule("hex", r"[0-9a-f]{24,}"),
 ]
+#: A PEM or PGP private key: all from BEGIN to the next END line of a private key with no BEGIN between; where
+#: there is none, its header lines and lines of base64 as far as they go, a short last one included. Line breaks may be
+#: escaped, as in JSON, and lines indented or quoted.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z0-9 ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\r|\\n|[>#*\"',+])*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+|=?[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]{1,15}+={1,2}|=[A-Za-z0-9+/]{4}))*+"
+    r"(?:(?<=[A-Za-z0-9+/]{16})\r?\n[\x20\t]*[A-Za-z0-9+/]{1,15}(?=[\x20\t\r]*(?:\n|\Z)))?)"
+)
 #: Published shapes of further credentials.
 MORE_RULES = [
-    SecretRule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    SecretRule("private_key", PRIVATE_KEY),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
