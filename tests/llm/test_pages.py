@@ -113,3 +113,9 @@ def test_globs_over_many_words():
         pattern = re.compile("(?s)" + "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts) + open_)
         assert got[:, k].tolist() == [bool(pattern.fullmatch(t)) for t in texts], g
     assert fnmatch.fnmatch("ab", "a?")
+
+
+@pytest.mark.parametrize(("tag", "kept"), [('<svg class="rule"/>', True), ("<math />", True), ("<SVG/>", True), ("<svg a='/>' b/>", True), ('<svg class="rule">', False), ("<svg class=rule/>", False), ("<title/>", False)])
+def test_only_empty_svg_and_math_leave_the_page_whole(tag, kept):
+    page = H.parse(f"<article><p>One.</p>{tag}<p>Two.</p><p>Three.</p></article>")
+    assert [run for _, run in page.runs] == (["One.", "Two.", "Three."] if kept else ["One."])

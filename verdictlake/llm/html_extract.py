@@ -53,7 +53,10 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
+    # svg and math may be empty elements; the slash of an unquoted value does not make them so
+    r"|<(?:svg|math)(?=[\s/])(?:\s++|/(?!>)|[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?+)*+/>"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|math|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
@@ -126,7 +129,7 @@ def parse(source: str) -> Page:
         tag = m[3]
         if tag is None:
             token = m[0]
-            if m[1] or token.startswith(("<!", "<?")):
+            if len(token) > 1 and token[0] == "<":
                 continue
             text.append(token)
             if links:
