@@ -159,6 +159,12 @@ def test_odd_vectors(spark):
     assert embed_dedup.report(df.limit(0)).count() == 0
 
 
+def test_unusable_rows_of_a_usable_id_are_kept(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, None, 0), (1, [0.0, 0.0], 0), (1, [1.0, 0.0], None), (2, [1.0, 0.0], 0)]
+    got = embed_dedup.report(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1)] * 3 + [(1, 1, 1), (2, 1, 1)]
+
+
 def test_traversal_yields_cells_in_order():
     rng = np.random.default_rng(3)
     left, right = rng.random(6), rng.random(5)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdictlake.llm.common import materialise, maybe_broadcast, ship
@@ -114,10 +114,16 @@ def fit(sample: np.ndarray, codes: int) -> Index:
     return Index(left, right, min(n_cells, need))
 
 
+def can_link() -> Column:
+    """Whether a row has an id, a label and a vector of finite numbers that is not zero."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    whole = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
+    return F.coalesce(whole & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """(id, label, v): the vectors that can link; the label also holds their length."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    good = rows.where("vec_id is not null and label is not null and embedding is not null").where(~F.exists("embedding", bad)).where(F.exists("embedding", lambda x: x != 0))
+    good = rows.where(can_link())
     return good.select(F.col("vec_id").cast("long").alias("id"), F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("label"), F.col("embedding").alias("v"))
 
 
@@ -295,7 +301,7 @@ def report(embeddings: DataFrame) -> DataFrame:
     joined = components(found.where("dst is not null").select(F.col("id").alias("src"), "dst")).withColumnRenamed("node", "id")
     summed = reps.join(counts, "id", "left").join(joined, "id", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     per_id = good.join(summed, ["label", "v"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    lone = rows.join(good.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_anti").select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    lone = rows.where(~can_link()).select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return per_id.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
