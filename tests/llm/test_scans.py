@@ -1,6 +1,7 @@
 """Fingerprints, secret scans, licence scans and toxicity."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -241,3 +242,44 @@ def test_without_labels_nothing_is_rejected(spark):
     assert [r["score"] for r in toxicity.report(docs, labels).collect()] == [0.0, 0.0]
     assert toxicity.reject(docs, labels).count() == 2
     assert toxicity.report(docs.limit(0), labels).count() == 0
+
+
+def test_scores_against_windows_one_by_one(corpus):
+    toxic, plain = ([t for _, t, y in corpus if y == label] for label in (1, 0))
+    model = toxicity.fit(toxic, plain)
+    scorer = toxicity.Scorer(model)
+    long = " ".join(t for _, t, _ in corpus[:300])
+    texts = [corpus[0][1], corpus[1][1], "", "zgrukh", long, "É" * 47]
+    for text, got in zip(texts, scorer.scores(texts), strict=True):
+        data = text.lower().encode()
+        plain_side, toxic_side = toxicity._compressor(model.ground), toxicity._compressor(model.ground + model.toxic)
+        windows, at = [], 0
+        while at < len(data) and (at == 0 or at + toxicity.WINDOW - toxicity.STRIDE < len(data)):
+            windows.append(data[at : at + toxicity.WINDOW])
+            at += toxicity.STRIDE
+        gains = [len(plain_side.compress(w)) - len(toxic_side.compress(w)) for w in windows]
+        n = max(1, len(gains))
+        counts = [sum(g >= s for g in gains) for s in toxicity.STEPS]
+        top = (sorted(gains, reverse=True) + [0, 0, 0])[:3]
+        row = [*top, sum(gains) / n, *(math.log1p(c) for c in counts), *(c / n for c in counts), math.log(n)]
+        z = model.weights[0] + sum(w * (x - c) / s for w, x, c, s in zip(model.weights[1:], row, model.centre, model.scale, strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_residue_is_what_ordinary_text_lacks():
+    toxic = [f"abcabc zgrukh xyz{i % 7} abc" for i in range(20)]
+    plain = [f"abcabc xyz{i % 7} abc and so on" for i in range(50)]
+    spans = toxicity.residues(toxic, plain, 2)
+    assert all(any(b"zgrukh" in s for s in found) for found in spans)
+    assert not any(b"and so" in s or b"xyz1 abc " in s for s in spans[2])
+
+
+def test_conflicting_labels_and_other_columns_do_not_matter(spark, corpus):
+    docs = spark.createDataFrame([(i, t, 0.5, True, 1) for i, t, _ in corpus], "doc_id long, text string, score double, held_out boolean, toxic int")
+    labels = [(i, y, "x") for i, _, y in corpus]
+    both = spark.createDataFrame(labels + [(9_000, 1, "x"), (9_000, 0, "x")], "doc_id long, toxic int, text string")
+    more = docs.union(spark.createDataFrame([(9_000, corpus[0][1], 0.0, False, 0)], docs.schema))
+    a = {r["doc_id"]: r["score"] for r in toxicity.report(docs, spark.createDataFrame(labels, "doc_id long, toxic int, text string")).collect()}
+    b = {r["doc_id"]: r["score"] for r in toxicity.report(more, both).collect()}
+    assert {k: b[k] for k in a} == a
+    assert toxicity.reject(more, both).columns == docs.columns

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
-import os
-import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where the session names none (tests)."""
+    """The shared folder named by the session.
+
+    Where it names none: a folder of this machine for a local master, which has one disk; an error for a
+    cluster, whose machines would each write to their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "verdictlake-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+        root = "file:///tmp/verdictlake-checkpoints"
     return root.rstrip("/")
 
 
@@ -62,6 +70,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows and, but for a single longer value, ``size`` bytes of one string column."""
+    for b in batches:
+        values = b.column(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, "right"))))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def texts_of(values: pa.Array) -> list[str]:
+    """The strings of a column, null ones empty."""
+    return [t or "" for t in values.to_pylist()]
+
+
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
     """Whether a materialised table of rows of about ``row_bytes`` may be broadcast."""
     return df.count() * row_bytes <= BROADCAST_BYTES

@@ -4,21 +4,26 @@ Two zstandard dictionaries are trained, one on ordinary text, one on toxic text.
 that the toxic dictionary shortens more than the ordinary one is suspect; how strongly and how often
 that happens in a text is weighed by a calibrated threshold.
 
-The dictionary of ordinary text is the ground that both sides share, so chance likeness to ordinary
-prose cancels out. The toxic side adds a dictionary trained on what marks toxic text: words whose
-first letters stand in a far larger share of toxic than of ordinary texts.
+A toxic text is ordinary prose for the most part, and a trainer that sees one corpus only would spend its
+dictionary on that. So what toxic texts share with ordinary ones is cut out of the toxic samples first:
+a span stays if its byte strings of about the trainer's own length stand in ``LIFT`` times the share of
+toxic texts (``residues``). No words are told apart, and no text is read as words. For the same reason both
+sides hold the dictionary of ordinary text, the toxic side adds its own: chance likeness to ordinary prose
+cancels out. With dictionaries on their own, entropy tables and all, the noise of such likeness is larger
+than what a toxic passage gains (figures in README).
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` of each label, lowest hash of
-the id first, ``SAMPLE_BYTES`` of text at most), on the driver; scoring is one narrow pass over whole texts.
+the id first, ``SAMPLE_BYTES`` of UTF-8 at most), on the driver; scoring is one narrow pass over whole texts.
 
 Defined cases: null and empty texts score as texts without suspect windows; repeated rows are each
-scored; null ids are kept and count as not held out; with no labelled text of either kind every score is
-0; an empty table gives an empty result; very long texts are read in full, window by window.
+scored; null ids are kept and count as not held out; an id labelled both ways is not learned from; ties
+in the sample's order go by id, then by the text's hash; with no labelled text of either kind every score
+is 0; an empty table gives an empty result; very long texts are read in full, window by window, in slices
+of bounded size; of other columns none is read, so their names do not matter, and ``reject`` keeps them all.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,19 +33,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import ship
+from verdictlake.llm.common import materialise, ship, slices, texts_of
 
-#: Most labelled rows of each label, and most bytes of their text, that the model is fitted on.
+#: Most labelled rows of each label, and most bytes of each label's text, that the model is fitted on.
 SAMPLE_ROWS = {1: 2000, 0: 5000}
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = {1: 8 << 20, 0: 16 << 20}
 #: Bytes of a window and from one window to the next.
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 48, 24
 LEVEL = 3
-GROUND_BYTES, MARK_BYTES = 32768, 1024
-#: A word marks toxic text if its head stands in at least so many toxic texts, and in so many times the share.
-HEAD, LEAST_TEXTS, LIFT = 6, 3, 30
+GROUND_BYTES, TOXIC_BYTES = 32768, 1536
+#: Bytes of ordinary text, evenly taken from the sample, that the ordinary dictionary is trained on.
+GROUND_SAMPLE = 10 << 20
+#: A span stays in the toxic samples if its strings of these lengths stand in at least so many toxic texts,
+#: in at least this share of them, and in so many times the share of ordinary ones.
+GRAMS, LEAST_TEXTS, LEAST_SHARE, LIFT = (5, 6), 3, 0.005, 5
+#: Bytes of one sample for the toxic dictionary.
+PIECE = 128
 #: Gains, in bytes, at which windows are counted.
-STEPS = (2, 3, 4, 5, 6, 7, 8, 10)
+STEPS = (1, 2, 3, 4, 5, 6, 8, 10)
+#: Windows compressed in one call.
+SLICE = 16384
 #: One row in so many is held out of training, by the checksum of its id.
 FOLDS = 5
 
@@ -50,7 +62,7 @@ class Model:
     """Dictionaries and the weights of the calibrated threshold; no bytes: a model that knows nothing."""
 
     ground: bytes = b""
-    marks: bytes = b""
+    toxic: bytes = b""
     centre: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
@@ -61,25 +73,46 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        if model.marks:
-            self.plain = _compressor(model.ground)
-            self.toxic = _compressor(model.ground + model.marks)
-
-    def features(self, text: str) -> list[float]:
-        data = text.lower().encode()
-        a, b = self.plain.compress, self.toxic.compress
-        windows = [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE)]
-        gains = np.array([len(a(w)) - len(b(w)) for w in windows])
-        top = np.sort(gains)[::-1]
-        counts = [(gains >= s).sum() for s in STEPS]
-        return [*top[[0, min(1, len(top) - 1), min(2, len(top) - 1)]], gains.mean(), *(np.log1p(c) for c in counts), *(c / len(gains) for c in counts), np.log(len(gains))]
-
-    def score(self, text: str) -> float:
-        if not self.model.marks:
-            return 0.0
+        if model.toxic:
+            self.ordinary = _compressor(model.ground)
+            self.toxic = _compressor(model.ground + model.toxic)
+
+    def gains(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that the toxic dictionary saves over the ordinary one for each window, and each text's number of windows."""
+        data = [t.lower().encode() for t in texts]
+        sizes = np.array([len(d) for d in data], np.int64)
+        counts = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STRIDE)) + 1, 0)
+        flat, begin = b"".join(data), np.cumsum(sizes) - sizes
+        inside = STRIDE * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+        at = np.stack([np.repeat(begin, counts) + inside, np.minimum(WINDOW, np.repeat(sizes, counts) - inside)], axis=1)
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(at), SLICE):
+            part = at[i : i + SLICE] - [at[i, 0], 0]
+            windows = zstandard.BufferWithSegments(flat[at[i, 0] : at[i, 0] + part[-1].sum()], part.astype(np.uint64).tobytes())
+            a, b = (c.multi_compress_to_buffer(windows, threads=1) for c in (self.ordinary, self.toxic))
+            out.append(np.array([len(a[k]) - len(b[k]) for k in range(len(a))], np.int64))
+        return np.concatenate(out), counts
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """One row a text: the three largest gains, their mean, how many and what share reach each step, and the windows' number."""
+        gains, counts = self.gains(texts)
+        own = np.repeat(np.arange(len(texts)), counts)
+        n = np.maximum(1, counts)
+        top = np.zeros((len(texts), 3))
+        order = np.lexsort((-gains, own))
+        rank = np.arange(len(gains)) - np.repeat(np.cumsum(counts) - counts, counts)
+        for k in range(3):
+            at = order[rank == k]
+            top[own[at], k] = gains[at]
+        reach = np.stack([np.bincount(own, gains >= s, len(texts)) for s in STEPS], axis=1)
+        return np.c_[top, np.bincount(own, gains, len(texts)) / n, np.log1p(reach), reach / n[:, None], np.log(n)]
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if not self.model.toxic or not texts:
+            return np.zeros(len(texts))
         m = self.model
-        x = (np.array(self.features(text)) - m.centre) / m.scale
-        return float(1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[1:]) + m.weights[0], -30, 30))))
+        x = (self.features(texts) - m.centre) / m.scale
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights[1:]) + m.weights[0], -30, 30)))
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -89,35 +122,106 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def fit(toxic: list[str], ordinary: list[str], parts: int = 3) -> Model:
-    """Dictionaries from all texts; the threshold from each part seen through dictionaries of the others."""
+    """Dictionaries from all texts; the threshold from each part seen through a toxic dictionary of the others."""
     if min(len(toxic), len(ordinary)) < 2 * parts:
         return Model()
-    pieces = [w for t in ordinary for w in _cut(t.lower().encode(), 256)]
-    ground = _train(pieces[:: max(1, len(pieces) // 20_000)], GROUND_BYTES, 64, 8)
+    pieces = [p for t in ordinary for p in _cut(t.lower().encode(), 256)]
+    ground = _train(pieces[:: max(1, -(-len(pieces) * 256 // GROUND_SAMPLE))], GROUND_BYTES, 64, 8)
+    spans = residues(toxic, ordinary, parts)
+    own = [_train(_cut(b" ".join(found), PIECE), TOXIC_BYTES, 16, 6) for found in spans]
+    if not all(own):
+        return Model()
     rows, y = [], []
     for k in range(parts):
-        marks = _marks(*([t for i, t in enumerate(texts) if i % parts != k] for texts in (toxic, ordinary)))
-        if not marks:
-            return Model()
-        scorer = Scorer(Model(ground, marks))
+        scorer = Scorer(Model(ground, own[k]))
         for label, texts in ((1, toxic), (0, ordinary)):
-            rows += [scorer.features(t) for t in texts[k::parts]]
-            y += [label] * len(texts[k::parts])
-    x, y = np.array(rows, float), np.array(y, float)
+            part = texts[k::parts]
+            rows += [scorer.features(part[i : i + 256]) for i in range(0, len(part), 256)]
+            y += [label] * len(part)
+    x, y = np.concatenate(rows), np.array(y, float)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - centre) / scale]
     w = _logistic(z, y)
     w[0] -= _threshold(z @ w, y)
-    return Model(ground, _marks(toxic, ordinary), tuple(centre), tuple(scale), tuple(w))
-
-
-def _marks(toxic: list[str], ordinary: list[str]) -> bytes:
-    """The dictionary of what marks toxic text."""
-    heads = lambda texts: Counter(h for t in texts for h in {w[:HEAD] for w in t.lower().split()})
-    seen, other = heads(toxic), heads(ordinary)
-    marking = {h for h, n in seen.items() if n >= LEAST_TEXTS and n / len(toxic) >= LIFT * (other[h] + 0.5) / len(ordinary)}
-    told = [" " + " ".join(w for w in t.lower().split() if w[:HEAD] in marking) + " " for t in toxic]
-    return _train([w for t in told for w in _cut(t.encode(), 128)], MARK_BYTES, 16, 6)
+    return Model(ground, own[parts], tuple(centre), tuple(scale), tuple(w))
+
+
+def _strings(texts: list[str], length: int, most: int = 2 << 20) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Texts joined in slices of about ``most`` bytes: the bytes, the string (at most six bytes) that begins
+    at each place, as a number, and the number of the place's text."""
+    data = [t.lower().encode() + b"\0" for t in texts]
+    first = 0
+    while first < len(data):
+        end, size = first, 0
+        while end < len(data) and (size == 0 or size + len(data[end]) <= most):
+            size += len(data[end])
+            end += 1
+        raw = b"".join(data[first:end])
+        flat = np.frombuffer(raw + b"\0" * length, np.uint8)
+        at = np.zeros(len(raw), np.uint64)
+        for j in range(length):
+            at <<= np.uint64(8)
+            at |= flat[j : j + len(raw)]
+        yield raw, at, np.repeat(np.arange(first, end), [len(d) for d in data[first:end]])
+        first = end
+
+
+def residues(toxic: list[str], ordinary: list[str], parts: int) -> list[list[bytes]]:
+    """The spans of toxic texts that ordinary text does not account for, in text order: without each part, then of all."""
+    out: list[list[bytes]] = [[] for _ in range(parts + 1)]
+    for length in GRAMS:
+        known = _repeated(toxic, length)
+        n, m = (_holders(texts, length, known, parts) for texts in (toxic, ordinary))
+        own = []
+        for k in range(parts + 1):
+            counted = [(x.sum(axis=1) - x[:, k], len(t) - len(t[k::parts])) if k < parts else (x.sum(axis=1), len(t)) for x, t in ((n, toxic), (m, ordinary))]
+            own.append(known[_marking(*counted[0], *counted[1])])
+        for raw, at, text in _strings(toxic, length):
+            for k in range(parts + 1):
+                hit = _find(own[k], at)[1]
+                if k < parts:
+                    hit &= text % parts != k
+                begin = np.flatnonzero(hit)
+                if len(begin):
+                    gap = np.diff(begin) > length
+                    out[k] += [raw[a : e + length] for a, e in zip(begin[np.r_[True, gap]].tolist(), begin[np.r_[gap, True]].tolist(), strict=True)]
+    return out
+
+
+def _marking(n: np.ndarray, toxic: int, m: np.ndarray, ordinary: int) -> np.ndarray:
+    """Which strings toxic texts hold far more often than ordinary ones."""
+    return (n >= max(LEAST_TEXTS, LEAST_SHARE * toxic)) & (n / max(1, toxic) >= LIFT * (m + 0.5) / max(1, ordinary))
+
+
+def _pairs(at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Distinct pairs of a string and a text that holds it, in order; the text's number takes the low 16 bits beside six bytes."""
+    both = np.sort((at << np.uint64(16)) | text.astype(np.uint64))
+    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+
+
+def _repeated(texts: list[str], length: int) -> np.ndarray:
+    """The strings that at least ``LEAST_TEXTS`` texts hold, in order."""
+    value = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_pairs(at, text) for _, at, text in _strings(texts, length))])) >> np.uint64(16)
+    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    return value[first[np.diff(np.r_[first, len(value)]) >= LEAST_TEXTS]]
+
+
+def _holders(texts: list[str], length: int, known: np.ndarray, parts: int) -> np.ndarray:
+    """How many texts of each part hold each known string, (strings, parts)."""
+    out = np.zeros(len(known) * parts, np.int64)
+    for _, at, text in _strings(texts, length):
+        pairs = _pairs(at, text)
+        k, there = _find(known, pairs >> np.uint64(16))
+        out += np.bincount(k[there] * parts + (pairs[there] & np.uint64(0xFFFF)).astype(np.int64) % parts, minlength=len(out))
+    return out.reshape(-1, parts)
+
+
+def _find(known: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string stands in the sorted ``known``, and whether it does."""
+    if not len(known):
+        return np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    k = np.minimum(np.searchsorted(known, at), len(known) - 1)
+    return k, known[k] == at
 
 
 def _cut(data: bytes, size: int) -> list[bytes]:
@@ -162,24 +266,32 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the bounded sample of labelled rows outside the held-out fold."""
-    known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out()).dropDuplicates(["doc_id"])
-    texts: dict[int, list[str]] = {}
+    """Fit on the bounded sample of labelled rows outside the held-out fold.
+
+    The sizes of the sampled texts come first; which texts fit into ``SAMPLE_BYTES`` is settled by them, so
+    no more than that reaches the driver.
+    """
+    known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out())
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
+    order = F.xxhash64("doc_id")
+    ids = [known.where(F.col("toxic") == label).select("doc_id", "toxic").orderBy(order, "doc_id").limit(most) for label, most in SAMPLE_ROWS.items()]
+    ids = F.broadcast(ids[0].unionByName(ids[1]))  # at most SAMPLE_ROWS ids
+    texts = docs.select("doc_id", "text").where("text is not null")
+    sizes = texts.join(ids, "doc_id").groupBy("doc_id", F.xxhash64("text").alias("mark")).agg(F.min("toxic").alias("toxic"), F.max(F.octet_length("text")).alias("size"))
+    sizes = materialise(sizes, "toxicity-sizes")
+    chosen = []
     for label, most in SAMPLE_ROWS.items():
-        ids = known.where(F.col("toxic") == label).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # at most SAMPLE_ROWS ids
-        room, texts[label] = SAMPLE_BYTES // len(SAMPLE_ROWS), []
-        for r in sorted(rows.limit(most).collect(), key=lambda r: (hash_order(r["doc_id"]), r["text"])):
-            room -= len(r["text"])
-            if room < 0:
-                break
-            texts[label].append(r["text"])
-    return fit(texts[1], texts[0])
-
-
-def hash_order(doc_id: int) -> int:
-    """An order of ids that has nothing to do with their values' order."""
-    return (doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        room = SAMPLE_BYTES[label]
+        for r in sizes.where(F.col("toxic") == label).orderBy(order, "doc_id", "mark").limit(most).collect():
+            if r["size"] <= room:
+                room -= r["size"]
+                chosen.append((r["doc_id"], r["mark"], label, len(chosen)))
+    if not chosen:
+        return Model()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, mark long, toxic int, nth int"))  # as many rows as the sample
+    same = texts.join(wanted, "doc_id").where(F.xxhash64("text") == F.col("mark"))
+    found = {r["nth"]: r for r in same.groupBy("nth").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).collect()}
+    return fit(*([r["text"] for _, r in sorted(found.items()) if r["toxic"] == label] for label in (1, 0)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,8 +303,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py() or "") for t in b.column(1)], pa.float64())], names=[id_col, "score"])
+        for b in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.scores(texts_of(b.column(1))), pa.float64())], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
@@ -212,7 +324,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            yield b.filter(pa.array([scorer.score(t.as_py() or "") < 0.5 for t in b.column(at)], pa.bool_()))
+        for b in slices(batches, at):
+            yield b.filter(pa.array(scorer.scores(texts_of(b.column(at))) < 0.5, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
