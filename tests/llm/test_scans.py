@@ -190,6 +190,23 @@ def test_notices_inside_longer_units_are_found(spark):
     assert all(got[k]["best_dice"] == 1.0 for k in (1, 2, 3, 4, 5))
 
 
+def test_full_texts_wrapped_notices_and_ties(spark):
+    full = dict(licenses.FULL_TEXTS)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = {
+        1: "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(full["MIT-full"], 11),
+        2: "Copyright 2021\n" + wrap(full["BSD-3-Clause-full"], 9),
+        3: wrap(full["Zlib-full"], 13).upper(),
+        4: "see above, as this is licensed under the Apache\nLicense, Version 2.0, and so on",
+        5: " ".join(f"w{i}" for i in range(200_000)) + "\nReleased under the MIT License.",
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(k, v, 0.5, "x") for k, v in texts.items()], "doc_id long, text string, best_dice double, licenses string")).collect()}
+    assert [got[k]["licenses"] for k in texts] == ["MIT-full,MIT-grant", "BSD-3-Clause-full,BSD-grant", "Zlib-full", "Apache-2.0", "MIT"]
+    same = [("first", "one two three four"), ("second", "one two three four")]
+    row = licenses.scan(spark.createDataFrame([(1, "one two three four"), (1, "one two three four")], "doc_id long, text string"), same).collect()
+    assert [(r["licenses"], r["n_matches"], r["best_dice"]) for r in row] == [("first", 1, 1.0)] * 2
+
+
 def test_no_window_does_without_the_needed_words():
     for t in licenses.compiled():
         for words in t.needed(0.8):
