@@ -165,6 +165,27 @@ def test_unusable_rows_of_a_usable_id_are_kept(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1)] * 3 + [(1, 1, 1), (2, 1, 1)]
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_ids_may_repeat_and_rows_stay_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(embed_dedup, "HOT_COPIES", hot)
+    a, b, c = [1.0, 0.0], [0.999, 0.01], [0.0, 1.0]
+    rows = [(1, a, 0, "p"), (1, c, 0, "q"), (1, None, 0, "r"), (None, a, 0, "s"), (2, b, 0, "t"), (3, c, 0, "u"), (3, c, 0, "v"), *[(7, a, 1, "w")] * 5, (8, b, 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, component_id string").repartition(3)
+    got = sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"] or 0, r["kept"]) for r in embed_dedup.report(df).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (1, 0, 1, True), (0, 0, 0, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), *[(7, 5, 7, True)] * 5, (8, 5, 7, False)])
+    kept = embed_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(r["component_id"] for r in kept.collect()) == ["p", "q", "r", "s", "w", "w", "w", "w", "w"]
+    assert embed_dedup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_cells_before_a_cell_are_counted():
+    rng = np.random.default_rng(5)
+    left, right = rng.random(9), rng.random(7)
+    grid = left[:, None] + right[None, :]
+    assert all(embed_dedup._nearer(left, right, i, j) == (grid < grid[i, j]).sum() for i in range(9) for j in range(7))
+
+
 def test_traversal_yields_cells_in_order():
     rng = np.random.default_rng(3)
     left, right = rng.random(6), rng.random(5)

@@ -6,14 +6,18 @@ cell. A search walks the cells in the order of the sum of both halves' distances
 traversal) and stops after as many cells as the calibration found to reach the target recall; what it
 meets is verified by cosine in double precision. Vectors of a label are only met by vectors of that label.
 
-Equal vectors of a label collapse first, with their number as weight. A pair is counted whichever of the
-two reaches the other's cell. Cells are dealt in blocks of bounded size, and every vector leaves a cell
-with one row: its count and one edge of a spanning forest.
+Equal vectors of a label collapse first, with their number as weight, and get a key of their own, so ids may
+repeat. A pair is counted whichever of the two reaches the other's cell. Codes grow with the square root of
+the largest label, so cells keep their size; a cell of many close vectors is dealt in blocks, and every
+vector leaves a cell with one row: its count and one edge of a spanning forest. Counts go back to the rows
+by the vectors that have copies only, the most frequent ones by broadcast.
 
 Defined cases: null vectors or labels, zero vectors, and vectors that hold a null or a component that is
 not finite link with nothing and are kept, as are vectors with a null id, which have a null component;
-vectors of different lengths never link; repeated rows count as links of each other, and of rows with
-one id each is kept; an empty table gives an empty result.
+vectors of different lengths never link; repeated rows count as links of each other; rows of one id with
+unequal vectors are vectors of their own, each with its links; a row is kept if its id is the least of its
+component, so all rows with that id and vector stay; links at exactly the bound count; an empty table gives
+an empty result; other columns may have any name, ``deduplicate`` keeps them.
 """
 
 from __future__ import annotations
@@ -31,16 +35,19 @@ from verdictlake.llm.common import materialise, maybe_broadcast, ship
 from verdictlake.llm.graph import Forest, components
 
 COSINE = 0.98
-#: Vectors that the codebooks and the calibration are fitted on, by lowest hash of the id.
-SAMPLE_ROWS = 8192
+#: Vectors that the codebooks and the calibration are fitted on, by lowest hash: at least so many, ten a code, at most so many.
+SAMPLE_ROWS, MOST_SAMPLE = 8192, 65536
 #: Sampled vectors whose links the calibration looks up by brute force.
 PROBES = 1024
 #: Share of links between sampled vectors that the traversal must reach.
 TARGET_RECALL = 0.995
-#: Codes of a half for a label, at most; fewer for fewer vectors: cells of about this many vectors.
-CODES, CELL_ROWS = 64, 24
-#: Vectors of one block of a cell.
-BLOCK_ROWS = 2048
+#: Codes of a half, at most; as many as make cells of about so many vectors of the largest label. Beyond
+#: that bound (400 million vectors of one label) cells grow, and are dealt in more blocks.
+CODES, CELL_ROWS = 4096, 24
+#: Vectors of one block of a cell, and the guests that it meets at a time.
+BLOCK_ROWS, GUESTS = 4096, 1024
+#: Vectors with more copies than this are joined back to their rows by broadcast.
+HOT_COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -87,29 +94,33 @@ def traverse(left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int,
     return out
 
 
+def _nearer(left: np.ndarray, right: np.ndarray, i: int, j: int) -> int:
+    """How many cells of the grid come before cell (i, j) in the walk of a vector with these distances."""
+    return int(np.searchsorted(np.sort(right), (left[i] - left) + right[j], "left").sum())
+
+
 def fit(sample: np.ndarray, codes: int) -> Index:
     """Codebooks from the sample, then the shortest walk that reaches the target recall on it."""
     half = sample.shape[1] // 2
     left, right = codebook(sample[:, :half], codes), codebook(sample[:, half:], codes)
     n_cells = len(left) * len(right)
-    dl, dr = _distances(sample[:, :half], left), _distances(sample[:, half:], right)
-    cl, cr = dl.argmin(1), dr.argmin(1)
+    probes = min(PROBES, len(sample))
+    at = lambda x: (_distances(x[:, :half], left), _distances(x[:, half:], right))
+    dl, dr = at(sample[:probes])
     ranks: list[int] = []
     noise = np.random.default_rng(11)
-    for i in range(min(PROBES, len(sample))):
+    for i in range(probes):
         linked = np.flatnonzero(sample @ sample[i] >= COSINE)
         # a link that lies exactly at the bound, in a random direction, stands for links the sample lacks
         turn = noise.normal(size=sample.shape[1])
         turn -= (turn @ sample[i]) * sample[i]
         far = COSINE * sample[i] + np.sqrt(1 - COSINE**2) * turn / max(np.linalg.norm(turn), 1e-12)
-        fl, fr = _distances(far[None, :half], left)[0], _distances(far[None, half:], right)[0]
-        grid = dl[i][:, None] + dr[i][None, :]
-        mirror = fl[:, None] + fr[None, :]
-        # found if either vector's walk reaches the other's cell
-        ranks.append(int(min((grid < grid[fl.argmin(), fr.argmin()]).sum(), (mirror < mirror[cl[i], cr[i]]).sum())))
-        for j in linked[linked != i][:64]:
-            back = dl[j][:, None] + dr[j][None, :]
-            ranks.append(int(min((grid < grid[cl[j], cr[j]]).sum(), (back < back[cl[i], cr[i]]).sum())))
+        others = np.concatenate([far[None], sample[linked[linked != i][:64]]])
+        ol, orr = at(others)
+        home = int(dl[i].argmin()), int(dr[i].argmin())
+        for fl, fr in zip(ol, orr, strict=True):
+            # found if either vector's walk reaches the other's cell
+            ranks.append(min(_nearer(dl[i], dr[i], int(fl.argmin()), int(fr.argmin())), _nearer(fl, fr, *home)))
     need = int(np.quantile(ranks, TARGET_RECALL, method="higher")) + 1
     return Index(left, right, min(n_cells, need))
 
@@ -121,10 +132,10 @@ def can_link() -> Column:
     return F.coalesce(whole & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def usable(rows: DataFrame) -> DataFrame:
+def usable(rows: DataFrame, *carry: str) -> DataFrame:
     """(id, label, v): the vectors that can link; the label also holds their length."""
     good = rows.where(can_link())
-    return good.select(F.col("vec_id").cast("long").alias("id"), F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("label"), F.col("embedding").alias("v"))
+    return good.select(*carry, F.col("vec_id").cast("long").alias("id"), F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("label"), F.col("embedding").alias("v"))
 
 
 def unit(flat: np.ndarray, n: int) -> np.ndarray:
@@ -179,11 +190,15 @@ class _Cell:
         self.walks = [set(w) for w in walks]
         self.counts = np.zeros(len(ids), np.int64)
         self.forest, self.edges = Forest(len(ids)), []
-        linked = x @ x.T >= COSINE
-        np.fill_diagonal(linked, False)
-        self.counts += linked @ weights
-        for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-            self._join(int(i), int(j))
+        for a in range(0, len(x), GUESTS):
+            linked = x[a : a + GUESTS] @ x.T >= COSINE
+            linked[np.arange(len(linked)), a + np.arange(len(linked))] = False
+            self.counts[a : a + GUESTS] += linked @ weights
+            for i in np.flatnonzero(linked.any(axis=1)).tolist():
+                # a link to the first of them, and theirs among each other by way of this row
+                for j in np.flatnonzero(linked[i]).tolist():
+                    if self.forest.root(a + i) != self.forest.root(j):
+                        self._join(a + i, j)
 
     def _join(self, i: int, j: int) -> None:
         if self.forest.join(i, j):
@@ -258,8 +273,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             settle()
             if cell is None:
                 continue
-            for at in range(0, part.num_rows, BLOCK_ROWS):
-                p = part.slice(at, BLOCK_ROWS)
+            for at in range(0, part.num_rows, GUESTS):
+                p = part.slice(at, GUESTS)
                 ids = p.column("id").to_numpy()
                 x = unit(p.column("v").flatten().to_numpy(zero_copy_only=False), p.num_rows)
                 emit(ids, cell.meet(x, ids, p.column("weight").to_numpy(), p.column("own").to_numpy()), [])
@@ -272,9 +287,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(vectors: DataFrame) -> DataFrame:
     """(id, n, dst) of distinct vectors (id, label, v, weight): counts to sum by id where ``dst`` is null, else edges."""
     ship(vectors.sparkSession)
-    n, labels = vectors.agg(F.count("*"), F.count_distinct("label")).first()
-    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").collect()]
-    codes = int(np.clip(np.sqrt(n / max(1, labels) / CELL_ROWS), 1, CODES))
+    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    codes = int(np.clip(np.sqrt(largest / CELL_ROWS), 1, CODES))
+    rows = int(np.clip(10 * codes, SAMPLE_ROWS, MOST_SAMPLE))
+    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("v"), "v").limit(rows).select("v").collect()]
     indexes: dict[int, Index] = {}
     for d in {len(v) for v in sample}:
         some = np.array([v for v in sample if len(v) == d], float)
@@ -291,21 +307,55 @@ def links(vectors: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_search, "id long, n long, dst long")
 
 
+def _told(good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors (key, label, v, id, weight), and of each key (id, weight, n_links, component_id)."""
+    reps = good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumn("key", F.monotonically_increasing_id())
+    reps = materialise(reps, "imi-vectors")
+    found = materialise(links(reps.select(F.col("key").alias("id"), "label", "v", "weight")), "imi-links")
+    counts = found.where("dst is null").groupBy(F.col("id").alias("key")).agg(F.sum("n").alias("n"))
+    joined = components(found.where("dst is not null").select(F.col("id").alias("src"), "dst")).withColumnRenamed("node", "key")
+    joined = materialise(joined.join(reps.select("key", "id"), "key"), "imi-components")
+    least = materialise(joined.groupBy("component").agg(F.min("id").alias("least")), "imi-least")
+    joined = joined.join(maybe_broadcast(least, 32), "component").select("key", "least")
+    told = reps.select("key", "id", "weight").join(counts, "key", "left").join(joined, "key", "left")
+    told = told.select("key", "id", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
+    return reps, materialise(told, "imi-told")
+
+
+def _with_links(good: DataFrame, reps: DataFrame, told: DataFrame, least: int) -> DataFrame:
+    """The rows of ``good`` whose vector has at least ``least`` copies, with n_links and component_id.
+
+    Rows meet their vector under its hash and are compared in full; the few vectors of very many copies are
+    broadcast, as they would be one key.
+    """
+    marks = reps.where(F.col("weight") >= least).select("key", "weight", F.xxhash64("label", "v").alias("hash"), F.col("label").alias("__label"), F.col("v").alias("__v"))
+    marks = marks.join(told.select("key", "n_links", "component_id"), "key").drop("key")
+    rows = good.withColumn("hash", F.xxhash64("label", "v"))
+    hot = materialise(marks.where(F.col("weight") > HOT_COPIES), "imi-hot")
+    width = 64 + 16 * (hot.agg(F.max(F.size("__v"))).first()[0] or 0)
+    same = (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v"))
+    out = rows.join(marks.where(F.col("weight") <= HOT_COPIES), "hash").where(same)
+    if not hot.isEmpty():
+        out = out.unionByName(rows.join(maybe_broadcast(hot, width), "hash").where(same))
+    return out.drop("hash", "weight", "__label", "__v")
+
+
 def report(embeddings: DataFrame) -> DataFrame:
     """Links and components of every row, as the query's contract lays down."""
     rows = embeddings.select("vec_id", "label", "embedding")
     good = usable(rows)
-    reps = materialise(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "imi-vectors")
-    found = materialise(links(reps), "imi-links")
-    counts = found.where("dst is null").groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(found.where("dst is not null").select(F.col("id").alias("src"), "dst")).withColumnRenamed("node", "id")
-    summed = reps.join(counts, "id", "left").join(joined, "id", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    per_id = good.join(summed, ["label", "v"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    reps, told = _told(good)
+    # a vector without copies stands for its only row
+    once = told.where("weight = 1").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    more = _with_links(good, reps, told, 2).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     lone = rows.where(~can_link()).select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    return per_id.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return once.unionByName(more).unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(embeddings: DataFrame) -> DataFrame:
-    """``embeddings`` without the vectors that are not the least of their component."""
-    gone = report(embeddings).where("not kept").select("vec_id").distinct()
-    return embeddings.join(gone, "vec_id", "left_anti")
+    """``embeddings`` without the vectors that are not the least of their component, row by row, all columns kept."""
+    packed = embeddings.select("vec_id", "label", "embedding", F.struct("*").alias("__row"))
+    good = usable(packed, "__row")
+    reps, told = _told(good.drop("__row"))
+    stay = _with_links(good, reps, told, 1).where(F.col("id") == F.col("component_id")).select("__row")
+    return stay.unionByName(packed.where(~can_link()).select("__row")).select("__row.*")
