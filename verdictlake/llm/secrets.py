@@ -6,9 +6,11 @@ some query needs, the documents that hold it; the postings of a clause are inter
 documents left are scanned with the rule's regular expression. A rule whose expression forces no
 trigram scans every document. All of it is DataFrame and SQL functions.
 
-Defined cases: a null text is the empty text; texts without secrets have zero counts and the digest
-of the empty string; repeated rows are each reported; null ids are kept; an empty table gives an
-empty result. Offsets are code points, ends exclusive.
+Defined cases: a null text is the empty text (``redact`` leaves it null); texts without secrets have zero
+counts and the digest of the empty string; repeated rows are each reported; null ids are kept; an empty
+table gives an empty result; whole texts are read, and time grows with their length and hits, not with the
+square; spans that start together stand in the order of the rules; other columns may have any name, and
+``redact`` keeps them all. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -144,26 +146,51 @@ def _simplify(q: Query) -> Query:
     return frozenset(c for c in q if not any(d < c for d in q))
 
 
+#: Elements of a block in running totals, and code points of a chunk of text: what one step may look back over.
+BLOCK, CHUNK = 128, 4096
+
+
+def before_each(values: Column, fold, nothing: Column) -> Column:
+    """For each element, ``fold`` over all elements before it, in two levels.
+
+    An accumulator that held the result so far would be copied at each step; here every fold has a number.
+    """
+    total = lambda part: F.aggregate(part, nothing, fold)
+    block = lambda v, k: F.slice(v, k * BLOCK + 1, BLOCK)
+
+    def run(v: Column) -> Column:
+        ks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+
+        def inside(totals: Column) -> Column:
+            so_far = lambda k: total(F.slice(totals, 1, k))
+            one = lambda part, base: F.transform(part, lambda _, i: fold(base, total(F.slice(part, 1, i))))
+            # a transform over one element names a value once
+            return F.flatten(F.transform(ks, lambda k: F.flatten(F.transform(F.array(F.struct(block(v, k).alias("part"), so_far(k).alias("base"))), lambda x: one(x["part"], x["base"])))))
+
+        return F.flatten(F.transform(F.array(F.transform(ks, lambda k: total(block(v, k)))), inside))
+
+    return F.when(F.size(values) > 0, F.flatten(F.transform(F.array(values), run))).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
     """Leftmost non-overlapping matches as an array of (start, rank, end, kind), in code points.
 
-    The text is split by the expression; lengths of the pieces and of the matches add up to offsets.
+    The text is split by the expression; running totals of the lengths of pieces and matches are the offsets.
     """
     regex = F.lit(rule.regex)
     found, parts = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, rule.regex, -1)
     kept = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else found
-    steps = F.arrays_zip(parts.alias("p"), found.alias("m"), kept.alias("g"))
-    kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    length = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    steps = F.transform(F.arrays_zip(parts.alias("p"), found.alias("m"), kept.alias("g")), lambda x: F.struct(length(x["p"]).alias("p"), length(x["m"]).alias("m"), F.char_length(x["g"]).alias("g")))
 
-    def move(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.coalesce(F.char_length(x["m"]), F.lit(0))
-        hit = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        grown = F.when(F.char_length(x["g"]) >= rule.least, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), grown.alias("out"))
+    def placed(steps: Column) -> Column:
+        at = before_each(F.transform(steps, lambda x: x["p"] + x["m"]), lambda a, b: a + b, F.lit(0))
+        hit = lambda x, a: F.struct((a + x["p"]).alias("start"), F.lit(rank).alias("rank"), (a + x["p"] + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"), (x["g"] >= rule.least).alias("good"))
+        return F.filter(F.zip_with(steps, at, hit), lambda h: h["good"])
 
-    return F.when(F.rlike(text, regex), F.aggregate(steps, begin, move, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    spans = F.transform(F.flatten(F.transform(F.array(steps), placed)), lambda h: F.struct(h["start"].alias("start"), h["rank"].alias("rank"), h["end"].alias("end"), h["kind"].alias("kind")))
+    kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
+    return F.when(F.rlike(text, regex), spans.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def candidates(docs: DataFrame, rules: list[SecretRule], key: str) -> DataFrame:
@@ -201,20 +228,34 @@ def scan(docs: DataFrame, rules: list[SecretRule] | None = None, id_col: str = "
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", rules: list[SecretRule] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; overlapping spans are masked as one."""
+    """``docs`` with every span replaced by ``mask``; overlapping spans are masked as one.
+
+    The text is cut into chunks once; each piece between spans is taken from the chunks that it lies in, and
+    all are joined at the end.
+    """
     named = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*named).alias("__rest"), F.col(text_col).alias("__text"))  # the rest of a row travels as its id
+    # the rest of a row travels as its id
+    rest = F.struct((F.struct(*named) if named else F.struct(F.lit(0).alias("_"))).alias("row"), F.col(text_col).isNull().alias("none"))
+    rows = docs.select(rest.alias("__rest"), F.col(text_col).alias("__text"))
     found = scan(rows, rules, "__rest", "__text").withColumnRenamed("doc_id", "__rest")
 
-    def move(acc: Column, h: Column) -> Column:
-        fresh = h["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, h["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+    def masked(held: Column) -> Column:
+        chunks, hits = held["chunks"], held["hits"]
+
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / CHUNK).cast("int")
+            near = F.array_join(F.slice(chunks, first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+            return F.substr(near, a - first * CHUNK + 1, b - a)
+
+        ends = before_each(F.transform(hits, lambda h: h["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        fresh = F.filter(F.zip_with(hits, ends, lambda h, e: F.struct(e.alias("from"), h["start"].alias("to"))), lambda g: g["to"] >= g["from"])
+        last = F.array_max(F.transform(hits, lambda h: h["end"]))
+        return F.concat(F.array_join(F.transform(fresh, lambda g: F.concat(piece(g["from"], g["to"]), F.lit(mask))), ""), piece(last, F.char_length("text")))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ended = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1))
-    clean = F.when(F.size("hits") == 0, F.col("text")).otherwise(F.aggregate("hits", begin, move, ended))
-    return found.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"__rest.{c}").alias(c) for c in docs.columns])
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    clean = F.element_at(F.transform(F.array(F.struct(chunks.alias("chunks"), F.col("hits").alias("hits"))), masked), 1)
+    clean = F.when(F.col("__rest.none"), F.lit(None).cast("string")).when(F.size("hits") == 0, F.col("text")).otherwise(clean)
+    return found.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col("__rest.row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
