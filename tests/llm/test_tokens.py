@@ -1,17 +1,19 @@
 """BPE (exact ids, round trips) and packing (whole, gapless, little padding)."""
 
+import gc
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from verdictlake.llm import bpe, packing
+from verdictlake.llm import bpe, common, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,9 +53,19 @@ _HELD: dict = {}
 
 
 def test_memory_may_start_anew(coder, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
-    texts = ["the quick brown fox", "jumps over the lazy dog", "the quick brown fox"]
-    assert ids_of(coder, texts)[0] == ids_of(coder, texts[2:])[0]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100)
+    monkeypatch.setattr(coder, "room", {"words": 100, "pieces": 100})
+    texts = ["the quick brown fox", "jumps over the lazy dog", "x" * 300_000, "the quick brown fox"]
+    watched = gc.isenabled()
+    assert ids_of(coder, texts)[0] == ids_of(coder, texts[3:])[0]
+    assert not coder.words and not coder.pieces and gc.isenabled() == watched
+
+
+def test_slices_are_bounded_in_bytes():
+    texts = pa.array(["a" * n for n in (5, 5, 30, 1, 1, 1, 1, 1)] + [None, ""])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), texts], names=["id", "text"])
+    got = [s.column(0).to_pylist() for s in common.slices(iter([batch, batch.slice(0, 0)]), 1, rows=4, size=10)]
+    assert got == [[0, 1], [2], [3, 4, 5, 6], [7, 8, 9]]
 
 
 def test_round_trip_query_shape(spark, coder):

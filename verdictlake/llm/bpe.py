@@ -5,8 +5,10 @@ one flat array; in each round the lowest-ranked pair of every word is found by b
 sorted pair keys and merged, for all words at once, until no word has a pair left.
 
 Defined cases: a null text is the empty text and gives no ids; repeated rows are each encoded; null
-ids of rows are kept; an empty table gives an empty result; very long texts are held whole, one row
-at a time; a special token's string in a text becomes that token, as the tokenizers library does.
+ids of rows are kept; an empty table gives an empty result; very long texts are held whole, other texts in
+slices of bounded bytes; of pairs of one rank the leftmost merges first, as ties go in the tokenizers
+library; a special token's string in a text becomes that token, as there; other columns are not read, so
+their names do not matter.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import ship
+from verdictlake.llm.common import ship, slices, texts_of
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens and pieces between spaces that a worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 600_000
+#: Bytes of pre-tokens and of pieces between spaces that a worker remembers (with their ids, and ``ENTRY`` for the
+#: objects); beyond it the memory starts anew after the slice.
+CACHE_BYTES, ENTRY = 96 << 20, 180
 _NONE = np.int64(1) << 40
 
 
@@ -67,6 +70,7 @@ class Bpe:
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.room = {"words": CACHE_BYTES, "pieces": CACHE_BYTES}
 
     # -- merge rounds -------------------------------------------------------------------------
 
@@ -127,6 +131,7 @@ class Bpe:
         ids, ends = self.merge_rounds([w.encode() for w in new])
         raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
         self.words.update(zip(new, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        self.room["words"] -= len(raw) + sum(map(len, new)) + ENTRY * len(new)
 
     # -- texts --------------------------------------------------------------------------------
 
@@ -137,11 +142,19 @@ class Bpe:
         character which is no white space; pieces that start with white space or are empty send
         their text to the pattern as a whole.
         """
+        watched = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and each pass of the collector walks all that is remembered
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            for name in ("words", "pieces"):
+                if self.room[name] < 0:
+                    getattr(self, name).clear()
+                    self.room[name] = CACHE_BYTES
+            if watched:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[bytes]:
         get = self.pieces.get
         cut = [self._sections(t) for t in texts]
         plans: list[list] = []  # of each text: bytes, or [lists of words, pieces, what is known of them]
@@ -174,6 +187,7 @@ class Bpe:
         ids = self.words
         for c, words in parts.items():
             self.pieces[c] = b"".join([ids[w] for w in words])
+            self.room["pieces"] -= len(c) + len(self.pieces[c]) + ENTRY
         pieces = self.pieces
         out = []
         for plan in plans:
@@ -223,12 +237,6 @@ def loaded(spec: Broadcast) -> Bpe:
     return _LOADED[key]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the whole text of every row as an array of ids. One narrow pass."""
     ship(docs.sparkSession)
@@ -236,8 +244,8 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec)
-        for b in slices(batches):
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])]
+        for b in slices(batches, 1):
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_batch(texts_of(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -250,7 +258,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec)
-        for b in slices(batches):
+        for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
@@ -264,9 +272,9 @@ def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec)
         decimal = bpe.decimal.__getitem__
-        for b in slices(batches):
+        for b in slices(batches, 1):
             n, ids_sha, text_sha = [], [], []
-            for raw in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
+            for raw in bpe.encode_batch(texts_of(b.column(1))):
                 ids = np.frombuffer(raw, "<u4").tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())

@@ -71,10 +71,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut to at most ``rows`` rows and, but for a single longer value, ``size`` bytes of one string column."""
+    """Batches cut to at most ``rows`` rows and, but for a single longer value, ``size`` bytes (or elements) of one column."""
     for b in batches:
         values = b.column(column)
-        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
             done = ends[at - 1] if at else 0

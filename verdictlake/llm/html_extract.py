@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.bpe import slices
-from verdictlake.llm.common import ship
+from verdictlake.llm.common import ship, slices, texts_of
 
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
@@ -419,8 +418,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = main_texts([h or "" for h in b.column(2).to_pylist()], shared.value)
+        for b in slices(batches, 2):
+            texts = main_texts(texts_of(b.column(2)), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

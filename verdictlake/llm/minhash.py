@@ -31,8 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.bpe import slices
-from verdictlake.llm.common import materialise, maybe_broadcast, ship
+from verdictlake.llm.common import materialise, maybe_broadcast, ship, slices
 from verdictlake.llm.graph import components, linked_groups
 
 WORDS = 5
@@ -252,7 +251,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 1):
             words, ends = word_hashes(b.column(1))
             digests = []
             for a, e, t in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), b.column(1), strict=True):

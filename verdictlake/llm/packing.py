@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from verdictlake.llm import bpe
-from verdictlake.llm.common import materialise, maybe_broadcast, ship
+from verdictlake.llm.common import materialise, maybe_broadcast, ship, slices, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
@@ -57,9 +57,9 @@ def pieces_of(docs: DataFrame, vocab_path: str, sequence: int = SEQUENCE, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.loaded(spec)
-        for b in bpe.slices(batches):
+        for b in slices(batches, 1):
             rows: list[tuple] = []
-            for doc, raw in zip(b.column(0).to_pylist(), coder.encode_batch([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for doc, raw in zip(b.column(0).to_pylist(), coder.encode_batch(texts_of(b.column(1))), strict=True):
                 raw += end
                 total = len(raw) // 4
                 for at in range(0, total, sequence):
