@@ -1,5 +1,7 @@
 import pytest
 
+from verdictlake.functions import enums
+
 from verdictlake.operators import distributions as D
 from verdictlake.operators import pairs as P
 from verdictlake.operators import paths, profiles, reports
@@ -81,7 +83,7 @@ def test_distributions_add_up(log):
 def test_paths(log):
     subs, labels = log
     users = profiles.classified(profiles.user_profiles(subs, labels))
-    table = paths.error_paths(fact(subs, labels, users))
+    table = paths.error_paths(fact(subs, labels), users)
     got = as_dict(table, "difficulty", "sequence")
     assert set(got) == {("A", "WA→TLE→AC"), ("B", "CE→CE→AC"), ("F", "Other→AC")}  # cut at the first AC; u3 has no group
     assert all(r["resolved"] and r["sequence"].count("AC") == 1 for r in got.values())
@@ -125,3 +127,34 @@ def test_empty_log(spark, log):
     assert D.status_distribution(fact(none, labels)).count() == 0
     assert profiles.user_profiles(none, labels).count() == 0
     assert P.resolution_by_level(P.pair_stats(fact(none, labels))).count() == 0
+
+
+def test_language_order_and_totals_in_it(log):
+    assert enums.LANGUAGE_ORDER == ["C++", "Python", "Java", "C", "Ruby", "C#", "Rust", "Go", "Other"]
+    shown = [r["language"] for r in reports.language_totals(D.language_distribution(fact(*log))).collect()]
+    assert shown == ["Python", "Other"]
+
+
+def test_distributions_of_counts_equal_those_of_rows(log):
+    rows = fact(*log)
+    counts = D.submission_counts(rows)
+    for report in (D.status_distribution, D.language_distribution, D.status_by_language):
+        assert report(counts).collect() == report(rows).collect()
+
+
+def test_paths_find_their_own_cohort(log):
+    subs, labels = log
+    users = profiles.classified(profiles.user_profiles(subs, labels))
+    rows = fact(subs, labels)
+    order = ["difficulty", "proficiency_group", "first_error", "sequence"]
+    assert paths.error_paths(rows).orderBy(*order).collect() == paths.error_paths(rows, users).orderBy(*order).collect()
+
+
+def test_clusters_are_those_of_plain_lloyd_rounds(spark):
+    from verdictlake.operators.clusters import FEATURES, user_clusters
+
+    rows = [(f"u{k}", *(float(v + (k % 3) * 50 + i) for i, v in enumerate([k % 2, 1, 2, 3, 4]))) for k in range(30)]
+    got = {r["user_id"]: r for r in user_clusters(spark.createDataFrame(rows, ["user_id", *FEATURES]), k=3).collect()}
+    assert len(got) == 30 and all(r["pc1"] is not None and r["pc2"] is not None for r in got.values())
+    of = lambda k: {got[f"u{i}"]["cluster"] for i in range(30) if i % 3 == k}
+    assert all(len(of(k)) == 1 for k in range(3)) and len(of(0) | of(1) | of(2)) == 3

@@ -24,6 +24,23 @@ def test_submissions_pass_over_missing_and_header_only_files(spark, folder):
         readers.load_submissions(spark, folder, ["p2", "absent"])
 
 
+def test_columns_in_another_order_are_not_read_by_position(spark, tmp_path):
+    (tmp_path / "p1.csv").write_text("problem_id,submission_id" + HEADER[len("submission_id,problem_id") :] + "p1,s1,u1,1700000000,C++,C++,cpp,Accepted,10,20,30,1/1\n")
+    with pytest.raises(Exception, match="header"):
+        readers.load_submissions(spark, str(tmp_path), ["p1"]).collect()
+
+
+def test_corrupt_rows_are_counted(spark, folder):
+    got = readers.corrupt_submissions(spark, folder, ["p1", "p2", "absent"]).collect()
+    assert [tuple(r)[:3] for r in got] == [("p1", 2, 1)]
+    assert readers.corrupt_submissions(spark, folder, ["absent"]).count() == 0
+
+
+def test_a_folder_is_no_catalogue(spark, folder):
+    with pytest.raises(ValueError, match="not one file"):
+        readers.load_problem_list(spark, folder)
+
+
 def test_catalogue_keeps_file_order_and_site(spark, folder):
     from pyspark.sql import types as T
 

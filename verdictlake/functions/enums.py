@@ -19,7 +19,7 @@ GROUPS = ["G1", "G2", "G3", "G4", "G5", "G6"]
 STATUS_ORDER = ["AC", "WA", "TLE", "RE", "CE", "Other"]
 ERROR_ORDER = ["WA", "TLE", "CE", "RE", "Other"]
 COMBINATION_ORDER = ["WA", "CE", "RE", "TLE"]
-LANGUAGE_ORDER = ["C++", "Python", "Java", "C", "C#", "Rust", "Go", "Ruby", "Other"]
+LANGUAGE_ORDER = ["C++", "Python", "Java", "C", "Ruby", "C#", "Rust", "Go", "Other"]
 CONTEST_PREFIX = "AtCoder Beginner Contest"
 OTHER, ACCEPTED, ARROW, ABANDON = "Other", "AC", "→", "Abandon"
 MIN_SUBMISSIONS = 3

@@ -13,10 +13,16 @@ def distribution(rows: DataFrame, keys: list[str], category: str) -> DataFrame:
 
     Counts are combined before the one shuffle; the share is a window over the few counted rows.
     """
-    counts = rows.groupBy(*keys, category).agg(F.count("*").alias("n_submissions"))
+    n = F.sum("n_submissions") if "n_submissions" in rows.columns else F.count("*")
+    counts = rows.groupBy(*keys, category).agg(n.alias("n_submissions"))
     return counts.withColumn("pct", share_within("n_submissions", keys))
 
 
+def submission_counts(fact: DataFrame, *more: str) -> DataFrame:
+    """Submissions by level, language, verdict and ``more``: a small table that any of the distributions may take as rows."""
+    return fact.groupBy("difficulty", *more, "language", "status_code").agg(F.count("*").alias("n_submissions"))
+
+
 def status_distribution(fact: DataFrame) -> DataFrame:
     """By level, all users."""
     return distribution(fact, ["difficulty"], "status_code").orderBy("difficulty", "status_code")

@@ -8,21 +8,28 @@ from pyspark.sql.window import Window
 
 from verdictlake.functions import enums as E
 from verdictlake.functions.exprs import arrows, error_combination, share, share_within
-from verdictlake.operators.pairs import PAIR, attempts
+from verdictlake.operators.pairs import PAIR
+from verdictlake.operators.profiles import classified, profiles_of_pairs
 
 
-def pair_paths(cohort_fact: DataFrame) -> DataFrame:
-    """One row a pair that starts with an error: verdicts up to the first AC, or all if there is none.
+def pair_steps(fact: DataFrame) -> DataFrame:
+    """One row a pair: its verdicts in order of date, then ``submission_id``. One shuffle of the log."""
+    steps = F.array_sort(F.collect_list(F.struct("date", "submission_id", "status_code")))
+    return fact.groupBy(*PAIR, "difficulty").agg(F.transform(steps, lambda s: s["status_code"]).alias("steps"))
 
-    Numbering, the first AC, the cut and the path all partition by the pair: one shuffle of the log.
-    """
-    pair = Window.partitionBy(*PAIR)
-    numbered = attempts(cohort_fact)
-    solved_at = F.min(F.when(F.col("status_code") == E.ACCEPTED, F.col("attempt"))).over(pair)
-    kept = numbered.withColumn("solved_at", solved_at).where("solved_at is null or (solved_at > 1 and attempt <= solved_at)")
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("attempt", "status_code"))), lambda s: s["status_code"])
-    made = kept.groupBy(*PAIR, "difficulty", "proficiency_group").agg(steps.alias("steps"))
-    return made.select(
+
+def users_of(steps: DataFrame, least: int = E.MIN_SUBMISSIONS) -> DataFrame:
+    """(user_id, proficiency_group) of the classified users among the pairs."""
+    tried = steps.select(*PAIR, "difficulty", F.size("steps").alias("n"), F.array_contains("steps", E.ACCEPTED).alias("solved"))
+    return classified(profiles_of_pairs(tried).where(F.col("total_raw_submissions") >= least))
+
+
+def paths_of(steps: DataFrame, users: DataFrame) -> DataFrame:
+    """One row a pair that starts with an error: verdicts up to the first AC, or all if there is none."""
+    failed = steps.where(F.element_at("steps", 1) != E.ACCEPTED).join(users, "user_id")
+    at = F.array_position("steps", E.ACCEPTED).cast("int")
+    cut = failed.withColumn("steps", F.when(at > 0, F.slice("steps", 1, at)).otherwise(F.col("steps")))
+    return cut.select(
         *PAIR,
         "difficulty",
         "proficiency_group",
@@ -33,12 +40,20 @@ def pair_paths(cohort_fact: DataFrame) -> DataFrame:
     )
 
 
-def error_paths(cohort_fact: DataFrame) -> DataFrame:
-    """Counts of each path and its share within level, group and first error."""
+def error_paths(log_fact: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Counts of each path and its share within level, group and first error.
+
+    Unless ``users`` names the cohort, groups are read from the pairs' verdicts like the paths, so the log is
+    scanned and shuffled once. Rows have no order, as the table grows with the data.
+    """
+    steps = pair_steps(log_fact)
+    return path_counts(paths_of(steps, users_of(steps) if users is None else users))
+
+
+def path_counts(pair_paths: DataFrame) -> DataFrame:
     keys = ["difficulty", "proficiency_group", "first_error"]
-    counts = pair_paths(cohort_fact).groupBy(*keys, "sequence", "sequence_length", "resolved").agg(F.count("*").alias("n_pairs"))
-    out = counts.withColumn("proportion_pct", share_within("n_pairs", keys))
-    return out.orderBy(*keys, F.desc("n_pairs"), "sequence")
+    counts = pair_paths.groupBy(*keys, "sequence", "sequence_length", "resolved").agg(F.count("*").alias("n_pairs"))
+    return counts.withColumn("proportion_pct", share_within("n_pairs", keys))
 
 
 def top_paths(paths: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -72,8 +87,8 @@ def frequent_combos(combos: DataFrame, least: int = 50, small: int = 20) -> Data
     return combos.withColumn("combo_total", overall).where(F.col("combo_total") >= least).withColumn("small_sample", F.col("total") <= small).orderBy(F.desc("combo_total"), "combo", "proficiency_group")
 
 
-def transitions(paths: DataFrame, least: int = 1, depth: int = 6, **only: str) -> DataFrame:
-    """Edges of the flow from step to step, weighted by pairs.
+def transitions(paths: DataFrame, least: int = 1, depth: int = 6, by: tuple[str, ...] = (), **only: str) -> DataFrame:
+    """Edges of the flow from step to step, weighted by pairs; one flow for each value of ``by``.
 
     Paths below ``least`` pairs are left out; unresolved ones end in "Abandon"; at most ``depth`` steps
     are followed. A step is named with its position, except the two ends.
@@ -83,10 +98,10 @@ def transitions(paths: DataFrame, least: int = 1, depth: int = 6, **only: str) -
         chosen = chosen.where(F.col(column) == value)
     steps = F.split("sequence", E.ARROW)
     whole = F.when(F.col("resolved"), steps).otherwise(F.concat(steps, F.array(F.lit(E.ABANDON))))
-    cut = chosen.select("n_pairs", F.slice(whole, 1, depth + 1).alias("steps")).where(F.size("steps") > 1)
-    hop = cut.select("n_pairs", "steps", F.explode(F.sequence(F.lit(1), F.size("steps") - 1)).alias("i"))
+    cut = chosen.select(*by, "n_pairs", F.slice(whole, 1, depth + 1).alias("steps")).where(F.size("steps") > 1)
+    hop = cut.select(*by, "n_pairs", "steps", F.explode(F.sequence(F.lit(1), F.size("steps") - 1)).alias("i"))
     node = lambda at: F.when(F.element_at("steps", at).isin(E.ACCEPTED, E.ABANDON), F.element_at("steps", at)).otherwise(F.concat_ws("_p", F.element_at("steps", at), at.cast("string")))
-    return hop.select(node(F.col("i")).alias("source"), node(F.col("i") + 1).alias("target"), "n_pairs").groupBy("source", "target").agg(F.sum("n_pairs").alias("value"))
+    return hop.select(*by, node(F.col("i")).alias("source"), node(F.col("i") + 1).alias("target"), "n_pairs").groupBy(*by, "source", "target").agg(F.sum("n_pairs").alias("value"))
 
 
 def flow_nodes(edges: DataFrame) -> DataFrame:

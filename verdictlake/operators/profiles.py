@@ -18,6 +18,11 @@ def _whole():
 def raw_profiles(submissions: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a user, before the activity filter: two levels of aggregation, no self-join."""
     tried = fact(submissions, labels).groupBy("user_id", "problem_id", "difficulty").agg(F.count("*").alias("n"), F.bool_or(F.col("status_code") == E.ACCEPTED).alias("solved"))
+    return profiles_of_pairs(tried)
+
+
+def profiles_of_pairs(tried: DataFrame) -> DataFrame:
+    """The same from pairs that are counted already: user_id, problem_id, difficulty, n (submissions) and solved."""
     users = tried.groupBy("user_id").agg(
         F.count("*").alias("unique_problems_attempted"),
         F.count_if("solved").alias("unique_problems_solved"),
@@ -84,6 +89,13 @@ def group_behaviour(profiles: DataFrame) -> DataFrame:
     )
 
 
+def group_gap_total(profiles: DataFrame, published: dict[str, int] | None = None) -> DataFrame:
+    """All classified users against all published ones: one row with the difference and the total gap in per cent."""
+    total = sum((published or E.PUBLISHED_USERS).values())
+    n, ref = F.count("*"), F.lit(total).cast("long")
+    return profiles.where("proficiency_group is not null").agg(n.alias("n_users"), ref.alias("n_published"), (n - ref).alias("diff"), share(n - ref, ref, 1).alias("gap_pct"))
+
+
 def group_gap(profiles: DataFrame, published: dict[str, int] | None = None) -> DataFrame:
     """Users a group and their share, against published numbers: difference and gap in per cent."""
     known = {k: str(v) for k, v in (published or E.PUBLISHED_USERS).items()}

@@ -80,6 +80,17 @@ def resolution_matrix(by_group: DataFrame, metric: str) -> DataFrame:
     return matrix(by_group, ["difficulty"], "proficiency_group", E.GROUPS, F.max(metric), fill=False)
 
 
+def level_resolution(by_group: DataFrame, level: str = "A") -> DataFrame:
+    """Resolution and first-try rates by group on one level."""
+    return by_group.where(F.col("difficulty") == level).select("proficiency_group", "resolution_rate", "first_try_rate")
+
+
+def level_error_resolution(by_first_error_group: DataFrame, level: str = "D", error: str = "WA") -> DataFrame:
+    """Resolution and mean attempts by group on one level after one first error."""
+    chosen = by_first_error_group.where((F.col("difficulty") == level) & (F.col("first_error_type") == error))
+    return chosen.select("proficiency_group", "resolution_rate", "avg_attempts_to_ac")
+
+
 def first_error_share(by_first_error: DataFrame) -> DataFrame:
     """First errors by level: pairs and share, without ``Other``."""
     told = by_first_error.where(F.col("first_error_type") != E.OTHER).select("difficulty", "first_error_type", "n_pairs")

@@ -9,7 +9,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictlake.functions import enums as E
 from verdictlake.operators import clusters, fact, labels, pairs, paths, profiles, reports
 from verdictlake.operators import distributions as D
 from verdictlake.sources import driver_tables as T
@@ -57,7 +56,7 @@ class Log:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return paths.error_paths(self.cohort)
+        return paths.error_paths(self.fact)
 
 
 _QUERIES: dict[str, Callable[[Log], DataFrame]] = {
@@ -108,6 +107,19 @@ _QUERIES: dict[str, Callable[[Log], DataFrame]] = {
     "first_error_share": lambda g: reports.first_error_share(pairs.resolution_by_first_error(g.pairs)),
     "first_error_matrix": lambda g: reports.first_error_matrix(pairs.resolution_by_first_error(g.pairs), "avg_attempts_to_ac"),
     "first_error_matrix_masked": lambda g: reports.first_error_group_masked(pairs.resolution_by_first_error_group(g.pairs, g.users)),
+    "group_gap_total": lambda g: profiles.group_gap_total(g.profiles),
+    "wa_matrix_by_group": lambda g: reports.group_status_matrix(D.status_by_group(g.cohort), "WA"),
+    "re_matrix_by_group": lambda g: reports.group_status_matrix(D.status_by_group(g.cohort), "RE"),
+    "ce_matrix_by_group": lambda g: reports.group_status_matrix(D.status_by_group(g.cohort), "CE"),
+    "lang_status_matrix_ac": lambda g: reports.language_status_matrix(D.status_by_language(g.fact), "AC"),
+    "lang_status_matrix_ce": lambda g: reports.language_status_matrix(D.status_by_language(g.fact), "CE"),
+    "resolution_matrix_attempts": lambda g: reports.resolution_matrix(pairs.resolution_by_group(g.pairs, g.users), "avg_attempts_to_ac"),
+    "resolution_matrix_first_try": lambda g: reports.resolution_matrix(pairs.resolution_by_group(g.pairs, g.users), "first_try_rate"),
+    "level_a_resolution_by_group": lambda g: reports.level_resolution(pairs.resolution_by_group(g.pairs, g.users)),
+    "level_d_wa_resolution_by_group": lambda g: reports.level_error_resolution(pairs.resolution_by_first_error_group(g.pairs, g.users)),
+    "path_transitions_d_by_error": lambda g: paths.transitions(g.paths, 50, by=("first_error",), difficulty="D"),
+    "path_transitions_d_tle_by_group": lambda g: paths.transitions(g.paths.where("proficiency_group in ('G4', 'G5', 'G6')"), 15, by=("proficiency_group",), difficulty="D", first_error="TLE"),
+    "path_transitions_by_error_level": lambda g: paths.transitions(g.paths, 2, by=("difficulty", "first_error")),
     "windowed_status_counts": lambda g: windowed_status_counts(g.submissions, g.labels),
     "title_extract": lambda g: T.read(g.spark, g.sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1), F.lit("")).alias("title")).where("title is not null"),
     "scan_filter_project": lambda g: g.submissions.where("status = 'Accepted'").select("submission_id", "user_id", "problem_id"),
@@ -131,6 +143,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # -- the same in SQL ---------------------------------------------------------------------------
 
+# Fixed values, written out again so that an error in the engine's own lists shows.
+_LETTERS = ["A", "B", "C", "D", "E", "F"]
+_GROUPS = ["G1", "G2", "G3", "G4", "G5", "G6"]
+_STATUSES = ["AC", "WA", "TLE", "RE", "CE", "Other"]
+_ERRORS = ["WA", "TLE", "CE", "RE"]
+_LANGUAGES = ["C++", "Python", "Java", "C", "Ruby", "C#", "Rust", "Go", "Other"]
+_PUBLISHED_USERS = {"G1": 8177, "G2": 15649, "G3": 21753, "G4": 21349, "G5": 11292, "G6": 10652}
+_PUBLISHED_TOTAL = 88872
+_PUBLISHED_AC = {"A": 72.8, "B": 64.5, "C": 50.4, "D": 42.5, "E": 37.7, "F": 35.1}
+# End of fixed values.
+
 _R2 = "round_even({} * 100, 0) / 100"
 _R1 = "round_even({} * 10, 0) / 10"
 
@@ -188,10 +211,10 @@ _LANG_STATUS = _dist("fact", "difficulty, language", "status_code")
 _ERR = _resolution("pairs WHERE first_error_type <> 'AC'", "difficulty, first_error_type", False)
 _ERR_GROUP = _resolution("gpairs WHERE first_error_type <> 'AC'", "difficulty, proficiency_group, first_error_type", False)
 _EDGES = """
-SELECT source, target, sum(n_pairs)::BIGINT AS value FROM (
-  SELECT n_pairs, CASE WHEN s[i] IN ('AC', 'Abandon') THEN s[i] ELSE s[i] || '_p' || i END AS source, CASE WHEN s[i + 1] IN ('AC', 'Abandon') THEN s[i + 1] ELSE s[i + 1] || '_p' || (i + 1) END AS target
-  FROM (SELECT n_pairs, s, unnest(range(1, len(s))) AS i FROM (SELECT n_pairs, (CASE WHEN resolved THEN string_split(sequence, '→') ELSE list_append(string_split(sequence, '→'), 'Abandon') END)[1:{steps}] AS s FROM path_counts WHERE {where})))
-GROUP BY source, target"""
+SELECT {by}source, target, sum(n_pairs)::BIGINT AS value FROM (
+  SELECT {by}n_pairs, CASE WHEN s[i] IN ('AC', 'Abandon') THEN s[i] ELSE s[i] || '_p' || i END AS source, CASE WHEN s[i + 1] IN ('AC', 'Abandon') THEN s[i + 1] ELSE s[i + 1] || '_p' || (i + 1) END AS target
+  FROM (SELECT {by}n_pairs, s, unnest(range(1, len(s))) AS i FROM (SELECT {by}n_pairs, (CASE WHEN resolved THEN string_split(sequence, '→') ELSE list_append(string_split(sequence, '→'), 'Abandon') END)[1:{steps}] AS s FROM path_counts WHERE {where})))
+GROUP BY {by}source, target"""
 _COMBOS = f"""
 SELECT combo, proficiency_group, sum(n_pairs)::BIGINT AS total, sum(CASE WHEN resolved THEN n_pairs ELSE 0 END)::BIGINT AS n_resolved, {_pct('sum(CASE WHEN resolved THEN n_pairs ELSE 0 END)', 'sum(n_pairs)', 1)} AS rate
 FROM (SELECT *, array_to_string(list_filter(['WA', 'CE', 'RE', 'TLE'], lambda e: list_contains(string_split(sequence, '→'), e)), ', ') AS combo FROM path_counts) WHERE combo <> '' GROUP BY ALL"""
@@ -211,7 +234,7 @@ _SQL: dict[str, str] = {
     "group_behaviour": "SELECT proficiency_group, count(*) AS n_users, "
     + ", ".join(f"round_even(avg({c}) * 1000, 0) / 1000 AS {a}" for c, a in (("problem_win_rate", "avg_win_rate"), ("unique_problems_solved", "avg_solved"), ("submissions_per_problem", "avg_subs_per_problem"), ("unique_problems_attempted", "avg_attempted")))
     + " FROM profiles WHERE proficiency_group IS NOT NULL GROUP BY 1",
-    "group_gap": f"SELECT proficiency_group, n_users, {_pct('n_users', 'sum(n_users) OVER ()')} AS pct, p AS n_published, n_users - p AS diff, {_pct('n_users - p', 'p')} AS gap_pct FROM (SELECT proficiency_group, count(*) AS n_users FROM users GROUP BY 1) JOIN (VALUES {', '.join(f"('{g}', {n}::BIGINT)" for g, n in E.PUBLISHED_USERS.items())}) v(g, p) ON g = proficiency_group",
+    "group_gap": f"SELECT proficiency_group, n_users, {_pct('n_users', 'sum(n_users) OVER ()')} AS pct, p AS n_published, n_users - p AS diff, {_pct('n_users - p', 'p')} AS gap_pct FROM (SELECT proficiency_group, count(*) AS n_users FROM users GROUP BY 1) JOIN (VALUES {', '.join(f"('{g}', {n}::BIGINT)" for g, n in _PUBLISHED_USERS.items())}) v(g, p) ON g = proficiency_group",
     "consecutive_solvers": "SELECT * EXCLUDE (letters) FROM profiles WHERE letters = ascii(max_difficulty_solved) - 64",
     "status_dist": _STATUS,
     "status_dist_by_group": _GROUP_STATUS,
@@ -231,26 +254,36 @@ _SQL: dict[str, str] = {
     "path_slice_totals": f"SELECT difficulty, first_error, sum(n_pairs)::BIGINT AS n_pairs, {_pct('sum(n_pairs)', '(SELECT sum(n_pairs) FROM path_counts)')} AS pct FROM path_counts GROUP BY ALL",
     "error_combos": _COMBOS,
     "error_combos_min_total": f"SELECT * FROM (SELECT *, (sum(total) OVER (PARTITION BY combo))::BIGINT AS combo_total, total <= 20 AS small_sample FROM ({_COMBOS})) WHERE combo_total >= 50",
-    "path_transitions": _EDGES.format(steps=7, where="n_pairs >= 1"),
-    "path_transitions_slice": _EDGES.format(steps=5, where="n_pairs >= 2 AND first_error = 'TLE' AND difficulty = 'D'"),
-    "path_flow_nodes": f"SELECT DISTINCT node FROM (SELECT source AS node FROM ({_EDGES.format(steps=7, where='n_pairs >= 1')}) UNION ALL SELECT target FROM ({_EDGES.format(steps=7, where='n_pairs >= 1')}))",
+    "path_transitions": _EDGES.format(by="", steps=7, where="n_pairs >= 1"),
+    "path_transitions_slice": _EDGES.format(by="", steps=5, where="n_pairs >= 2 AND first_error = 'TLE' AND difficulty = 'D'"),
+    "path_flow_nodes": f"SELECT DISTINCT node FROM (SELECT source AS node FROM ({_EDGES.format(by="", steps=7, where='n_pairs >= 1')}) UNION ALL SELECT target FROM ({_EDGES.format(by="", steps=7, where='n_pairs >= 1')}))",
     "resolution_by_path_length": f"SELECT *, {_pct('n_resolved', 'total', 1)} AS rate FROM (SELECT proficiency_group, least(sequence_length - 1, 5)::INT AS length, sum(n_pairs)::BIGINT AS total, sum(CASE WHEN resolved THEN n_pairs ELSE 0 END)::BIGINT AS n_resolved FROM path_counts WHERE sequence_length > 1 GROUP BY ALL) WHERE total >= 5",
-    "status_matrix": _wide(_STATUS, "difficulty", "status_code", E.STATUS_ORDER, "pct"),
-    "ac_matrix_by_group": _wide(_GROUP_STATUS + ") WHERE (status_code = 'AC'", "difficulty", "proficiency_group", E.GROUPS, "pct", False),
-    "tle_matrix_by_group": _wide(_GROUP_STATUS + ") WHERE (status_code = 'TLE'", "difficulty", "proficiency_group", E.GROUPS, "pct", False),
-    "counts_wide": f"SELECT * FROM (SELECT *, {_pct('AC', 'total', 1)} AS ac_pct FROM (SELECT *, AC + WA + TLE + RE + CE + Other AS total FROM ({_wide(_GROUP_STATUS, 'difficulty, proficiency_group', 'status_code', E.STATUS_ORDER, 'n_submissions')}))) WHERE AC > 0",
-    "reject_share": _wide(f"SELECT *, {_pct('n_submissions', 'sum(n_submissions) OVER (PARTITION BY difficulty)')} AS share FROM ({_STATUS}) WHERE status_code <> 'AC'", "difficulty", "status_code", E.STATUS_ORDER[1:], "share"),
-    "ac_by_level": f"SELECT difficulty, pct, p AS published_pct, {_R2.format('(pct - p)')} AS diff FROM ({_STATUS}) JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in E.PUBLISHED_AC.items())}) v(d, p) ON d = difficulty WHERE status_code = 'AC'",
-    "level_a_group_status": _wide(_GROUP_STATUS + ") WHERE (difficulty = 'A'", "proficiency_group", "status_code", E.STATUS_ORDER, "pct"),
-    "lang_matrix": _wide(_LANG, "difficulty", "language", E.LANGUAGE_ORDER, "pct"),
-    "lang_matrix_level_a": _wide(_GROUP_LANG + ") WHERE (difficulty = 'A'", "proficiency_group", "language", E.LANGUAGE_ORDER, "pct"),
-    "lang_status_matrix": _wide(_LANG_STATUS + ") WHERE (status_code = 'TLE'", "language", "difficulty", E.LETTERS, "pct"),
+    "status_matrix": _wide(_STATUS, "difficulty", "status_code", _STATUSES, "pct"),
+    "ac_matrix_by_group": _wide(_GROUP_STATUS + ") WHERE (status_code = 'AC'", "difficulty", "proficiency_group", _GROUPS, "pct", False),
+    "tle_matrix_by_group": _wide(_GROUP_STATUS + ") WHERE (status_code = 'TLE'", "difficulty", "proficiency_group", _GROUPS, "pct", False),
+    "counts_wide": f"SELECT * FROM (SELECT *, {_pct('AC', 'total', 1)} AS ac_pct FROM (SELECT *, AC + WA + TLE + RE + CE + Other AS total FROM ({_wide(_GROUP_STATUS, 'difficulty, proficiency_group', 'status_code', _STATUSES, 'n_submissions')}))) WHERE AC > 0",
+    "reject_share": _wide(f"SELECT *, {_pct('n_submissions', 'sum(n_submissions) OVER (PARTITION BY difficulty)')} AS share FROM ({_STATUS}) WHERE status_code <> 'AC'", "difficulty", "status_code", _STATUSES[1:], "share"),
+    "ac_by_level": f"SELECT difficulty, pct, p AS published_pct, {_R2.format('(pct - p)')} AS diff FROM ({_STATUS}) JOIN (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in _PUBLISHED_AC.items())}) v(d, p) ON d = difficulty WHERE status_code = 'AC'",
+    "level_a_group_status": _wide(_GROUP_STATUS + ") WHERE (difficulty = 'A'", "proficiency_group", "status_code", _STATUSES, "pct"),
+    "lang_matrix": _wide(_LANG, "difficulty", "language", _LANGUAGES, "pct"),
+    "lang_matrix_level_a": _wide(_GROUP_LANG + ") WHERE (difficulty = 'A'", "proficiency_group", "language", _LANGUAGES, "pct"),
+    "lang_status_matrix": _wide(_LANG_STATUS + ") WHERE (status_code = 'TLE'", "language", "difficulty", _LETTERS, "pct"),
     "lang_totals": "SELECT language, count(*) AS n_submissions FROM fact GROUP BY 1",
     "level_a_by_lang": f"SELECT language, pct FROM ({_LANG_STATUS}) WHERE difficulty = 'A' AND status_code = 'AC'",
-    "resolution_matrix": _wide(_resolution("gpairs", "difficulty, proficiency_group", True), "difficulty", "proficiency_group", E.GROUPS, "resolution_rate", False),
+    "resolution_matrix": _wide(_resolution("gpairs", "difficulty, proficiency_group", True), "difficulty", "proficiency_group", _GROUPS, "resolution_rate", False),
     "first_error_share": f"SELECT difficulty, first_error_type, n_pairs, {_pct('n_pairs', 'sum(n_pairs) OVER (PARTITION BY difficulty)')} AS pct FROM ({_ERR}) WHERE first_error_type <> 'Other'",
-    "first_error_matrix": _wide(_ERR, "difficulty", "first_error_type", E.ERROR_ORDER[:-1], "avg_attempts_to_ac", False),
-    "first_error_matrix_masked": _wide(f"SELECT *, CASE WHEN NOT (resolution_rate = 0 AND avg_attempts_to_ac IS NULL) THEN resolution_rate END AS shown FROM ({_ERR_GROUP}) WHERE first_error_type <> 'Other'", "difficulty, first_error_type", "proficiency_group", E.GROUPS, "shown", False),
+    "first_error_matrix": _wide(_ERR, "difficulty", "first_error_type", _ERRORS, "avg_attempts_to_ac", False),
+    "first_error_matrix_masked": _wide(f"SELECT *, CASE WHEN NOT (resolution_rate = 0 AND avg_attempts_to_ac IS NULL) THEN resolution_rate END AS shown FROM ({_ERR_GROUP}) WHERE first_error_type <> 'Other'", "difficulty, first_error_type", "proficiency_group", _GROUPS, "shown", False),
+    "group_gap_total": f"SELECT *, {_pct('n_users - n_published', 'n_published', 1)} AS gap_pct FROM (SELECT count(*) AS n_users, {_PUBLISHED_TOTAL}::BIGINT AS n_published, count(*) - {_PUBLISHED_TOTAL}::BIGINT AS diff FROM users)",
+    **{f"{s.lower()}_matrix_by_group": _wide(_GROUP_STATUS + f") WHERE (status_code = '{s}'", "difficulty", "proficiency_group", _GROUPS, "pct", False) for s in ("WA", "RE", "CE")},
+    **{f"lang_status_matrix_{s.lower()}": _wide(_LANG_STATUS + f") WHERE (status_code = '{s}'", "language", "difficulty", _LETTERS, "pct") for s in ("AC", "CE")},
+    "resolution_matrix_attempts": _wide(_resolution("gpairs", "difficulty, proficiency_group", True), "difficulty", "proficiency_group", _GROUPS, "avg_attempts_to_ac", False),
+    "resolution_matrix_first_try": _wide(_resolution("gpairs", "difficulty, proficiency_group", True), "difficulty", "proficiency_group", _GROUPS, "first_try_rate", False),
+    "level_a_resolution_by_group": f"SELECT proficiency_group, resolution_rate, first_try_rate FROM ({_resolution('gpairs', 'difficulty, proficiency_group', True)}) WHERE difficulty = 'A'",
+    "level_d_wa_resolution_by_group": f"SELECT proficiency_group, resolution_rate, avg_attempts_to_ac FROM ({_ERR_GROUP}) WHERE difficulty = 'D' AND first_error_type = 'WA'",
+    "path_transitions_d_by_error": _EDGES.format(by="first_error, ", steps=7, where="n_pairs >= 50 AND difficulty = 'D'"),
+    "path_transitions_d_tle_by_group": _EDGES.format(by="proficiency_group, ", steps=7, where="n_pairs >= 15 AND difficulty = 'D' AND first_error = 'TLE' AND proficiency_group IN ('G4', 'G5', 'G6')"),
+    "path_transitions_by_error_level": _EDGES.format(by="difficulty, first_error, ", steps=7, where="n_pairs >= 2"),
     "windowed_status_counts": "SELECT date_trunc('day', date) AS window_start, difficulty, status_code, count(*) AS n_submissions FROM fact GROUP BY ALL",
     "title_extract": "SELECT page_id, title FROM (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages) WHERE title <> ''",
     "scan_filter_project": "SELECT submission_id, user_id, problem_id FROM subs WHERE status = 'Accepted'",

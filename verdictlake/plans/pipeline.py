@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from verdictlake.operators import distributions as D
 from verdictlake.operators import labels as L
@@ -25,7 +25,8 @@ class Inputs:
 
 
 def run_all(inputs: Inputs) -> dict[str, DataFrame]:
-    """All result tables by name. The log is scanned once for pairs, whose table feeds four reports."""
+    """All result tables by name. The log is scanned once for pairs, whose table feeds four reports, and once each, with and without
+    groups, for the counts that the five distributions are summed from. ``release`` frees what is kept for this."""
     labels = L.label_problems(inputs.problems)
     if inputs.statements is not None:
         labels = L.with_scores(labels, L.extract_scores(inputs.statements))
@@ -34,24 +35,31 @@ def run_all(inputs: Inputs) -> dict[str, DataFrame]:
     users = profiles.classified(found)
     rows = fact(inputs.submissions, labels)
     cohort = fact(inputs.submissions, labels, users)
+    counts = D.submission_counts(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    group_counts = D.submission_counts(cohort, "proficiency_group").persist(StorageLevel.MEMORY_AND_DISK)
     stats = P.pair_stats(rows).persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "problems_labeled": labels,
         "user_profiles": found,
         "group_summary": profiles.group_summary(found),
-        "error_distribution": D.status_distribution(rows),
-        "error_by_group_difficulty": D.status_by_group(cohort),
-        "language_distribution": D.language_distribution(rows),
-        "language_by_group": D.language_by_group(cohort),
-        "error_by_language": D.status_by_language(rows),
+        "error_distribution": D.status_distribution(counts),
+        "error_by_group_difficulty": D.status_by_group(group_counts),
+        "language_distribution": D.language_distribution(counts),
+        "language_by_group": D.language_by_group(group_counts),
+        "error_by_language": D.status_by_language(counts),
         "resolution_by_difficulty": P.resolution_by_level(stats),
         "resolution_by_group": P.resolution_by_group(stats, users),
         "resolution_by_first_error": P.resolution_by_first_error(stats),
         "resolution_by_first_error_group": P.resolution_by_first_error_group(stats, users),
-        "error_sequences": paths.error_paths(cohort),
+        "error_sequences": paths.error_paths(rows),
     }
 
 
+def release(spark: SparkSession) -> None:
+    """Free the frames that ``run_all`` keeps, once its tables are written."""
+    spark.catalog.clearCache()
+
+
 def write_all(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
     """Each table under its name; the two that grow with the data keep their partitions."""
     for name, df in tables.items():
