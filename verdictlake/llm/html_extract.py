@@ -11,9 +11,12 @@ Many pages are done at once: nodes of all pages of a batch lie in flat arrays, a
 at a time.
 
 Defined cases: null and empty html have the empty text; text outside of any tag is read as the page's
-body; unclosed and stray tags are mended as browsers do for paragraphs, list items and table parts;
-repeated rows are each read; null ids and urls are kept; an empty table gives an empty result; long
-pages are read in full.
+body; unclosed and stray tags are mended as browsers do for paragraphs, list items and table parts; formulas
+and the text of ``object`` are read, drawings (``svg``) are not, and an unclosed one ends where a block begins
+or ends; a page that ends within a tag, a comment or a script ends there; repeated rows are each read; null
+ids and urls are kept; a marginal of exactly one half is no content; an empty table gives an empty result;
+pages are read in full, however long or deeply nested, in time that grows with their length; other columns
+are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -39,8 +43,11 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose insides are not text of the page.
-RAW = frozenset("script style noscript template textarea iframe svg math object title".split())
+#: Elements whose insides are not text of the page, and are read up to their end tag or the page's end.
+RAW = frozenset("script style noscript template textarea iframe title annotation annotation-xml".split())
+#: Start tags that end an open drawing.
+BREAKS = BLOCKS | frozenset("b big br code em embed i img meta nobr ruby s small span strong strike sub sup tt u var".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes, up to the nearest of the bounds.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -51,14 +58,12 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    # svg and math may be empty elements; the slash of an unquoted value does not make them so
-    r"|<(?:svg|math)(?=[\s/])(?:\s++|/(?!>)|[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?+)*+/>"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+#: A whole tag. A quote opens a value only behind an equals sign; nothing is tried twice, so a match or its
+#: failure takes one pass.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+#: The slash of an unquoted value does not end an element.
+_VALUE_SLASH = re.compile(r"=\s*+[^\s\"'>=]*/\Z")
 _MARKS = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -81,18 +86,13 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The tree of block elements; inline elements only tell which text is linked."""
+    """The tree of block elements; inline elements only tell which text is linked. One pass over the page."""
     page = Page()
-    stack: list[tuple[str, int]] = []  # open elements: block ones with their node, inline ones with -1
+    stack: list[tuple[str, int]] = []  # open block elements with their node
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    links = 0
-
-    def node() -> int:
-        for _, k in reversed(stack):
-            if k >= 0:
-                return k
-        open_("body", ())
-        return len(page.parent) - 1
+    link: int | None = None  # how many blocks were open when the open link began
+    drawing = 0  # open svg elements
 
     def flush() -> None:
         if text:
@@ -104,76 +104,120 @@ def parse(source: str) -> Page:
                 page.size[at] += len(run)
                 page.ends[at] += run[-1] in ".!?…:;\"”»。"
 
+    def node() -> int:
+        if not stack:
+            open_("body", ())
+        return stack[-1][1]
+
     def open_(tag: str, marks: tuple[str, ...]) -> None:
         if not page.parent and tag not in ("html", "head", "body"):
             open_("body", ())  # a fragment stands in the body of a page
-        up = next((k for _, k in reversed(stack) if k >= 0), -1)
+        up = stack[-1][1] if stack else -1
         page.parent.append(up)
         page.depth.append(page.depth[up] + 1 if up >= 0 else 0)
         page.marks.append((tag, *marks))
         for counts in (page.size, page.linked, page.ends):
             counts.append(0)
         stack.append((tag, len(page.parent) - 1))
+        opened[tag] += 1
 
     def close(tags, bounds) -> None:
+        nonlocal link
+        if not any(opened[t] for t in tags):
+            return
         for at in range(len(stack) - 1, -1, -1):
             if stack[at][0] in tags:
                 flush()
+                opened.subtract(t for t, _ in stack[at:])
                 del stack[at:]
+                if link is not None and link > at:
+                    link = None
                 return
             if stack[at][0] in bounds:
                 return
 
-    for m in _TOKEN.finditer(source):
-        tag = m[3]
-        if tag is None:
-            token = m[0]
-            if len(token) > 1 and token[0] == "<":
-                continue
-            text.append(token)
-            if links:
-                page.linked[node()] += len(token)
+    def say(run: str) -> None:
+        if not drawing:
+            text.append(run)
+            if link is not None:
+                page.linked[node()] += len(run)
+
+    at, end = 0, len(source)
+    while at < end:
+        begin = source.find("<", at)
+        if begin < 0:
+            say(source[at:])
+            break
+        if begin > at:
+            say(source[at:begin])
+        m = _TAG.match(source, begin)
+        if m is None:
+            after = source[begin + 1 : begin + 3]
+            if after[:1] in ("!", "?") or (after[:1] == "/" and after[1:] and not _is_letter(after[1:])):
+                # a comment, a declaration, or what passes for one
+                stop = source.find("-->", begin + 2) + 2 if source.startswith("<!--", begin) else source.find(">", begin)
+                if stop < begin:
+                    break
+                at = stop + 1
+            elif _is_letter(after.lstrip("/")[:1]):
+                break  # the page ends within a tag
+            else:
+                say("<")
+                at = begin + 1
             continue
-        tag = tag.lower()
-        if m[2]:
-            if tag == "br":
-                text.append(" ")
-            elif tag in BLOCKS:
-                if any(t == tag for t, _ in stack):
-                    close({tag}, ())
-            elif any(t == tag for t, _ in stack):
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == tag:
-                        del stack[at]
-                        break
-                    if stack[at][1] >= 0:
-                        break
-                links = sum(t == "a" for t, _ in stack)
+        at = m.end()
+        tag, rest = m[2].lower(), m[3]
+        if m[1]:
+            if tag == "svg":
+                drawing = max(0, drawing - 1)
+            elif tag == "br":
+                say(" ")
+            elif tag == "a":
+                link = None
+            elif tag in BLOCKS and opened[tag]:
+                drawing = 0
+                close({tag}, ())
             continue
+        if tag in RAW:
+            found = _CLOSING[tag].search(source, at)
+            stop = source.find(">", found.end()) if found else -1
+            if stop < 0:
+                break
+            at = stop + 1
+            continue
+        if tag == "svg":
+            drawing += not (rest.endswith("/") and not _VALUE_SLASH.search(rest))
+            continue
+        if drawing:
+            if tag not in BREAKS:
+                continue
+            drawing = 0
         if tag in BLOCKS:
             flush()
             if tag in CLOSES:
                 close(*CLOSES[tag])
             close({"p"}, {"button", "td", "th", "table", "caption"})
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                close({"h1", "h2", "h3", "h4", "h5", "h6"}, {"div", "section", "article", "main", "body", "td", "li"})
-            found = {k.lower(): a or b or c for k, a, b, c in _MARKS.findall(m[4])} if m[4] else {}
-            words = tuple(dict.fromkeys(_WORD.findall(" ".join(v for k, v in found.items() if k != "data-label").lower())))
+            if tag in HEADINGS:
+                close(HEADINGS, {"div", "section", "article", "main", "body", "td", "li"})
             if tag == "hr":
                 continue
+            found = {k.lower(): a or b or c for k, a, b, c in _MARKS.findall(rest)} if rest else {}
+            words = tuple(dict.fromkeys(_WORD.findall(" ".join(v for k, v in found.items() if k != "data-label").lower())))
             open_(tag, words)
             if "data-label" in found:
                 page.label.append(len(page.parent) - 1)
-            links = sum(t == "a" for t, _ in stack)
         elif tag == "br":
-            text.append(" ")
-        elif tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, -1))
-            links += tag == "a"
+            say(" ")
+        elif tag == "a" and not rest.endswith("/"):
+            link = len(stack)
     flush()
     return page
 
 
+def _is_letter(c: str) -> bool:
+    return c[:1].isascii() and c[:1].isalpha()
+
+
 # -- labelled pages -----------------------------------------------------------------------------
 
 #: Class and id words of parts that are not main text, and of parts that hold it.
@@ -348,7 +392,8 @@ def messages(f: Forest, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray
     """
     n = len(f.parent)
     belief, up = score.copy(), np.zeros((n, LABELS))
-    levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max()) + 1 if n else 0)]
+    order = np.argsort(f.depth, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(f.depth[order])) + 1) if n else []
     link = pair[f.kind]
     for nodes in reversed(levels[1:]):
         up[nodes] = _total(link[nodes] + belief[nodes][:, None, :], 2)
