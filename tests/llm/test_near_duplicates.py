@@ -86,9 +86,41 @@ def test_drifting_copies_in_a_split_group_are_one_class(spark, monkeypatch):
     rng.shuffle(order)
     docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string").repartition(3)
     monkeypatch.setattr(minhash, "BLOCK_KMERS", 120 * 146)  # two blocks
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 1000)
     assert {r["class_id"] for r in minhash.report(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize(("kmers", "rows"), [(5_000, 1024), (2_000_000, 1024)])
+def test_classes_do_not_depend_on_the_size_of_blocks(spark, monkeypatch, kmers, rows):
+    rng = random.Random(21)
+    base = [f"a{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        near = list(base)
+        for _ in range(2):
+            near[rng.randrange(120)] = f"z{rng.randrange(10_000)}"
+        texts.append(near)
+    for _ in range(20):  # a chain of two steps from some of them: only its first member is near the rest
+        one = list(texts[rng.randrange(60)])
+        for at in rng.sample(range(120), 2):
+            one[at] = f"y{rng.randrange(10_000)}"
+        two = list(one)
+        two[rng.randrange(120)] = f"x{rng.randrange(10_000)}"
+        texts += [one, two]
+    texts = [" ".join(t) for t in texts]
+    monkeypatch.setattr(minhash, "BLOCK_KMERS", kmers)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == truth(texts)
+
+
+def test_of_a_repeated_id_the_least_text_stays(spark):
+    rows = [(1, "b b c d e f g", "x", 2), (1, "a b c d e f g", "y", 1), (1, None, "z", 3), (2, "a b c d e f g", "w", 4), (3, "other words are here now", "v", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string, __n int")
+    assert sorted((r["doc_id"], r["class_id"]) for r in minhash.deduplicate(docs.drop("__n")).collect()) == [(1, "z"), (3, "v")]
+
+
 def test_alignment_equals_brute_force_near_the_threshold():
     rng = random.Random(8)
     for _ in range(60):

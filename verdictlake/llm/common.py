@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/verdictlake/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+#: Where the tables made by ``materialise`` lie, as long as they are held.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``materialise`` that nothing will read any more."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(table))
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictlake.llm.common import materialise, maybe_broadcast
+from verdictlake.llm.common import discard, materialise, maybe_broadcast
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each node of ``edges`` (src, dst long).
 
     Large-star and small-star steps in turn: each point all neighbours at the least one, so long paths
-    fold up in a logarithmic number of rounds. Every round is written to the shared folder.
+    fold up in a logarithmic number of rounds. Every round is written to the shared folder, and the one before
+    deleted. A star's centre is one key of the joins, with one row on the other side: skew that the runtime
+    re-planner splits; minima combine before their shuffle.
     """
     now = materialise(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v").distinct(), "cc-start")
     mark = _state(now)
@@ -27,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large, "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = materialise(small, "cc-small")
+        old, now = now, materialise(small, "cc-small")
+        discard(old)
+        discard(large)
         before, mark = mark, _state(now)
         if mark == before:
             break

@@ -14,8 +14,11 @@ heavy for a task are salted, meet again by their leaders, and then all rows that
 components are compared (see ``graph.linked_groups``).
 
 Defined cases: a null text is the empty text; texts without any word are copies only of texts equal to
-them; texts of fewer than five words have one k-mer, all of them; repeated rows and ids fall in one class;
-rows with a null id are never linked and are kept, with a null class; an empty table gives an empty result.
+them; texts of fewer than five words have one k-mer, all of them; a similarity of exactly the bound links;
+repeated rows and ids fall in one class, whose name is its least id; an id on unequal texts holds them
+together; rows with a null id are never linked and are kept, with a null class; very long texts are read
+whole, in blocks of their own; an empty table gives an empty result; other columns may have any name, and
+``deduplicate`` keeps them.
 """
 
 from __future__ import annotations
@@ -43,8 +46,9 @@ HASHES, PICKS = 10, 2
 BINS, CANDIDATE = 64, 0.55
 #: The same for the finer sketch made where texts are at hand (four deviations).
 FINE_BINS, FINE_CANDIDATE = 256, 0.7
-#: Documents in a block of a bucket; k-mers in a block of a candidate group.
-BLOCK_ROWS, BLOCK_KMERS = 2048, 4_000_000
+#: Most documents of a block of a bucket or candidate group, as its work grows with their square; most k-mers
+#: of a block of a candidate group, as its memory grows with them.
+BLOCK_ROWS, BLOCK_KMERS = 1024, 2_000_000
 #: Leaders that a block of a split group hands on for each of its clusters in the rounds that join early.
 LEADERS = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -279,8 +283,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = reps.select(F.col("rep").alias("id"), "sketch", F.posexplode("signatures").alias("nth", "sig")).select(F.xxhash64("nth", "sig").alias("key"), "id", "sketch")
     loose = linked_groups(buckets, "sketch", None, BLOCK_ROWS, link_by_sketch, "omh-bucket")
     group = materialise(components(loose).join(reps.select(F.col("rep").alias("node"), "n_kmers").distinct(), "node"), "omh-groups")
-    texts = rows.join(maybe_broadcast(group.select(F.col("node").alias("id"), "component", "n_kmers"), 40), "id").select(F.col("component").alias("key"), "id", "text", "n_kmers")
-    firm = linked_groups(texts, "text", "n_kmers", BLOCK_KMERS, link_by_text, "omh-verify")
+    texts = rows.join(maybe_broadcast(group.select(F.col("node").alias("id"), "component", "n_kmers"), 40), "id").select(F.col("component").alias("key"), "id", "text", F.greatest("n_kmers", F.lit(BLOCK_KMERS // BLOCK_ROWS).cast("long")).alias("weight"))
+    firm = linked_groups(texts, "text", "weight", BLOCK_KMERS, link_by_text, "omh-verify")
     several = known.join(shared, "id").join(alike.select("digest", "rep"), "digest").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     linked = materialise(components(firm.unionByName(several)).withColumnRenamed("node", "rep"), "omh-classes")
     named = alike.select("digest", "rep").join(maybe_broadcast(linked, 32), "rep", "left")
@@ -295,12 +299,20 @@ def report(docs: DataFrame) -> DataFrame:
     return found.unionByName(none)
 
 
+def _least(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each id: an aggregation that combines before its shuffle, however often an id is repeated."""
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("text").isNotNull(), "text", F.xxhash64(*rest) if rest else F.lit(0))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("__row")).select("__row.*")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, all columns kept."""
+    """``docs`` with one row of each class, all columns kept: of rows with the class's id the one of least text,
+    then of least hash of the other columns."""
     found = materialise(classes(docs), "omh-kept")
     stay = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
     stay = materialise(stay, "omh-stay")
     kept = docs.join(maybe_broadcast(stay, 32), "doc_id").select(*docs.columns, "__n")
     once, often = kept.where("__n = 1"), kept.where("__n > 1")
-    out = once if often.isEmpty() else once.unionByName(often.dropDuplicates(["doc_id"]))
+    out = once if often.isEmpty() else once.select(*docs.columns).unionByName(_least(often, docs.columns))
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
