@@ -39,6 +39,7 @@ def test_colliding_digests_are_told_apart_by_their_bytes(spark, monkeypatch):
 @pytest.mark.parametrize("slice_rows", [3, 4096])
 def test_edits_against_brute_force(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(fingerprint, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(fingerprint, "RUN_SLICES", 2)
     rng = random.Random(2)
     texts = {i * rng.choice([1, 1, 1000]) + i: rng.choice([None, "", "same text", "é" * rng.randint(0, 9), "word " * rng.randint(0, 40)]) for i in range(40)}
     docs = spark.createDataFrame([(k, v, 1.0) for k, v in texts.items()], "doc_id long, text string, near_next double").repartition(3)

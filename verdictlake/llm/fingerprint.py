@@ -5,7 +5,8 @@ with Spark, called through ``reflect`` as the built-in functions have no normali
 
 Defined cases: a null text is the empty text; empty and white-space-only texts share the fingerprint
 of the empty text; repeated rows are kept and get equal fingerprints; null ids sort first; an empty
-table gives an empty result; other columns pass through untouched.
+table gives an empty result; ties of the id go by the text, then by its fingerprint; whole texts are read,
+however long; other columns may have any name and pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from verdictlake.llm.common import materialise, maybe_broadcast
 SLICE_ROWS = 4096
 #: Most quantile bounds; finer slices come from splitting each interval evenly.
 MOST_BOUNDS = 1024
+#: Slices that are linked in one task; runs of them are few enough for one.
+RUN_SLICES = 65536
 
 
 def canonical(text: Column) -> Column:
@@ -79,7 +82,7 @@ def with_next(docs: DataFrame, order_col: str, carry: list[str], prefix: str = "
 
     The order is cut into slices by quantiles of the key, so no task sees more than a slice; the first
     row of each slice is sent to the slice before as a sentinel, and one window over slices does the rest.
-    Ties are ordered by the carried columns.
+    Rows of one key are one slice, as are all rows of a narrow run of keys where few bounds fall. Ties are ordered by the carried columns.
     """
     n, lo, hi = docs.agg(F.count("*"), F.min(order_col), F.max(order_col)).first()
     if not n:
@@ -103,10 +106,13 @@ def with_next(docs: DataFrame, order_col: str, carry: list[str], prefix: str = "
     order = F.struct(order_col, *carry)
     least = F.coalesce(F.col(order_col).cast("long"), F.lit(-(2**63)))
     heads = materialise(rows.groupBy("__slice").agg(F.min(least).alias("__least")), "slice-heads")
-    before = Window.orderBy("__slice")
-    linked = heads.withColumn("__to", F.coalesce(F.lag("__slice").over(before), F.lit(None)))
-    last = heads.agg(F.max("__slice")).first()[0]
-    linked = linked.withColumn("__to", F.coalesce("__to", F.lit(last)))
+    # slices are linked within runs of them, then run to run: no task sees all slices
+    run = F.floor(F.col("__slice") / RUN_SLICES).alias("__run")
+    linked = heads.withColumn("__run", run).withColumn("__to", F.lag("__slice").over(Window.partitionBy("__run").orderBy("__slice")))
+    runs = linked.groupBy("__run").agg(F.max("__slice").alias("__last"))
+    runs = runs.select("__run", F.lag("__last").over(Window.orderBy("__run")).alias("__before"), F.max("__last").over(Window.partitionBy()).alias("__last"))
+    linked = linked.join(F.broadcast(runs), "__run")  # as many rows as slices over RUN_SLICES
+    linked = linked.select("__slice", "__least", F.coalesce("__to", "__before", "__last").alias("__to"))
     linked = materialise(linked, "slice-links")
     first = (
         rows.withColumn("__least", least)
